@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymo.llm import bpe, exact_dedup, packing, quality_rules
+from kymo.llm import bpe, exact_dedup, line_dedup, packing, quality_rules, simhash
 from kymo.llm.common import table, workers_import
 
 
@@ -31,6 +31,15 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.decisions(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -43,7 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    return {f.__name__: ready(f) for f in (op1_best_fit_packing, op2_exact_dedup, op3_bpe, op9_quality_rules)}
+    return {f.__name__: ready(f) for f in (op1_best_fit_packing, op2_exact_dedup, op3_bpe, op6_simhash, op8_line_dedup, op9_quality_rules)}
 
 
 OP2_SQL = r"""
