@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymo.llm import bpe, exact_dedup, line_dedup, packing, quality_rules, simhash
+from kymo.llm import bpe, exact_dedup, html_extract, line_dedup, packing, quality_rules, simhash
 from kymo.llm.common import table, workers_import
 
 
@@ -44,6 +44,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def ready(query):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    return {f.__name__: ready(f) for f in (op1_best_fit_packing, op2_exact_dedup, op3_bpe, op6_simhash, op8_line_dedup, op9_quality_rules)}
+    return {f.__name__: ready(f) for f in (op1_best_fit_packing, op2_exact_dedup, op3_bpe, op6_simhash, op8_line_dedup, op9_quality_rules, op10_html_extraction)}
 
 
 OP2_SQL = r"""
