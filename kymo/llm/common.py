@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +67,26 @@ def lower_ascii(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bit_table(wanted: DataFrame, column: str) -> tuple[str, int]:
+    """A bit for each value of a long column, in a table of at most 16 MB whatever the input, handed to the executors.
+
+    It spares a shuffle of rows that surely have no partner; the join behind it decides.
+    """
+    n = max(wanted.count(), 1)
+    slots = min(1 << 27, max(64, 1 << (64 * n - 1).bit_length()))
+    slot = F.pmod(F.col(column), F.lit(slots))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+    words = wanted.select(F.shiftright(slot, 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(slots // 64, np.int64)
+    bits[words["w"].to_numpy()] = words["b"].to_numpy()
+    return put_bytes(wanted.sparkSession, bits.tobytes(), "bits"), slots
+
+
+def maybe_in(found: tuple[str, int], values: np.ndarray) -> np.ndarray:
+    """On an executor: False where a value surely isn't in the table."""
+    name, slots = found
+    bits = np.memmap(SparkFiles.get(name), dtype="<u8", mode="r")
+    slot = values % slots
+    return (bits[slot // 64] >> (slot % 64).astype(np.uint64) & np.uint64(1)).astype(bool)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import put_bytes, text_or_empty, written
+from kymo.llm.common import bit_table, maybe_in, text_or_empty, written
 from kymo.llm.components import components
 from kymo.llm.simhash import _Forest
 
@@ -161,29 +161,13 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, fuzzy: Fuzzy) -> Da
 
 
 def _texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(hi, lo, text) of the lines whose lo is in ``wanted``, once each.
-
-    A bit table over lo, of at most 16 MB whatever the input, spares the shuffle of most other lines; the join decides.
-    """
-    spark = docs.sparkSession
-    n = max(wanted.count(), 1)
-    slots = min(1 << 27, 1 << (64 * n - 1).bit_length())
-    slot = F.pmod("lo", F.lit(slots))
-    words = wanted.select(F.shiftright(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    bits = np.zeros(max(slots // 64, 1), np.int64)
-    got = words.toArrow()
-    bits[got["w"].to_numpy()] = got["b"].to_numpy()
-    name = put_bytes(spark, bits.tobytes(), "line-bits")
+    """(hi, lo, text) of the lines whose lo is in ``wanted``, once each."""
+    near = bit_table(wanted, "lo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import SparkFiles
-
-        table = np.memmap(SparkFiles.get(name), dtype="<u8", mode="r")
-
         def rows(held: list[str]) -> pa.RecordBatch:
             hi, lo = _digests(held)
-            slot = lo % slots
-            on = np.flatnonzero(table[slot // 64] >> (slot % 64).astype(_U) & _U(1))
+            on = np.flatnonzero(maybe_in(near, lo))
             return pa.record_batch({"hi": pa.array(hi[on]), "lo": pa.array(lo[on]), "text": pa.array([held[i] for i in on], pa.string())})
 
         for batch in batches:

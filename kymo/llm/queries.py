@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymo.llm import bpe, exact_dedup, html_extract, line_dedup, packing, quality_rules, simhash
+from kymo.llm import bpe, exact_dedup, html_extract, license_scan, line_dedup, packing, quality_rules, simhash
 from kymo.llm.common import table, workers_import
 
 
@@ -31,6 +31,18 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["exact"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    starts = F.transform(base, lambda s: s["start"])
+    whole = F.coalesce(F.array_max(F.transform(F.filter("spans", lambda s: ~s["exact"]), lambda s: s["coverage"])), F.lit(0.0))
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"), F.greatest(whole, F.when(F.size(base) > 0, F.lit(0.5)).otherwise(F.lit(0.0))).alias("score"),
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -56,7 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    return {f.__name__: ready(f) for f in (op1_best_fit_packing, op2_exact_dedup, op3_bpe, op6_simhash, op8_line_dedup, op9_quality_rules, op10_html_extraction)}
+    return {f.__name__: ready(f) for f in (op1_best_fit_packing, op2_exact_dedup, op3_bpe, op4_license_scan, op6_simhash, op8_line_dedup, op9_quality_rules, op10_html_extraction)}
 
 
 OP2_SQL = r"""
