@@ -84,11 +84,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> _U(32)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], word_bytes: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of the texts in order, and each text's number of words; whole arrays at a time."""
     buf = np.frombuffer(b"\0".join(texts) + b"\0", "u1")
     up, down = _powers(1 << (len(buf) + 1).bit_length())
-    word = WORD_BYTES[buf]
+    word = word_bytes[buf]
+    word[np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1] = False
     edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     total = np.concatenate([np.zeros(1, _U), np.cumsum((buf.astype(_U) + _U(1)) * up[: len(buf)])])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kymo.llm import bpe, exact_dedup, html_extract, license_scan, line_dedup, packing, quality_rules, simhash
+from kymo.llm import bpe, exact_dedup, html_extract, license_scan, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, simhash
 from kymo.llm.common import table, workers_import
 
 
@@ -43,11 +43,20 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.scored(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.decisions(table(spark, sf_dir, "documents"))
 
@@ -68,7 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return run
 
-    return {f.__name__: ready(f) for f in (op1_best_fit_packing, op2_exact_dedup, op3_bpe, op4_license_scan, op6_simhash, op8_line_dedup, op9_quality_rules, op10_html_extraction)}
+    return {f.__name__: ready(f) for f in (op1_best_fit_packing, op2_exact_dedup, op3_bpe, op4_license_scan, op5_lm_scoring, op6_simhash, op7_quality_classifier, op8_line_dedup, op9_quality_rules, op10_html_extraction)}
 
 
 OP2_SQL = r"""
