@@ -12,6 +12,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -61,6 +62,8 @@ class Merges:
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces_of_latin = regex.compile(split).findall
         self.byte_of = {c: b for b, c in alphabet.items()}
+        self._inner, self._last = np.array(self.inner, np.int32), np.array(self.last, np.int32)
+        self._pairs = _PairTable(self.ranks)
         self.known: dict[bytes, tuple[int, ...]] = {}
         self.cache = cache
 
@@ -123,16 +126,117 @@ class Merges:
                     heapq.heappush(heap, (rank, a, to, pair))
         return [x for x, there in zip(s, alive, strict=True) if there]
 
+    def merged_together(self, pieces: list[bytes]) -> list[bytes]:
+        """``merged`` for many short pieces at once, each step joining the pair of least rank, leftmost first, of every piece."""
+        n = len(pieces)
+        size = np.fromiter(map(len, pieces), np.int64, n)
+        wide = int(size.max())
+        flat = np.frombuffer(b"".join(pieces), "u1")
+        start = np.cumsum(size) - size
+        column = np.arange(wide)
+        there = column < size[:, None]
+        s = np.full((n, wide + 1), -1, np.int32)
+        s[:, :wide][there] = self._inner[flat]
+        s[np.arange(n), size - 1] = self._last[flat[start + size - 1]]
+        none = _PairTable.NONE
+        r = np.full((n, wide), none, np.int32)
+        pair = column[:-1] + 1 < size[:, None]
+        r[:, :-1][pair] = self._pairs.rank(s[:, : wide - 1][pair], s[:, 1:wide][pair])
+        on = np.arange(n)
+        while len(on):
+            own = r[on]
+            k = own.argmin(axis=1)
+            rank = own[np.arange(len(on)), k]
+            go = rank < none
+            on, k, rank = on[go], k[go], rank[go]
+            if not len(on):
+                break
+            later = column > k[:, None]
+            own_s, own_r = s[on], r[on]
+            moved = np.where(later, own_s[:, 1:], own_s[:, :-1])
+            moved[np.arange(len(on)), k] = self._pairs.merged[rank]
+            moved_r = np.where(later, np.concatenate([own_r[:, 1:], np.full((len(on), 1), none, np.int32)], 1), own_r)
+            row = np.arange(len(on))
+            right = np.where(k + 1 < wide, moved[row, np.minimum(k + 1, wide - 1)], -1)
+            right[k + 1 >= wide] = -1
+            moved_r[row, k] = np.where(right >= 0, self._pairs.rank(moved[row, k], np.maximum(right, 0)), none)
+            has = k > 0
+            moved_r[row[has], k[has] - 1] = self._pairs.rank(moved[row[has], k[has] - 1], moved[row[has], k[has]])
+            s[on, :wide], r[on] = moved, moved_r
+            s[on, wide] = -1
+        held = s[:, :wide] >= 0
+        raw = s[:, :wide][held].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(held.sum(axis=1))).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as little-endian unsigned 32-bit integers."""
+        cut = [self.pieces(w) for w in words]
+        new = list({p for ps in cut for p in ps})
+        new.sort(key=len)
+        ids: dict[bytes, bytes] = {}
+        at = 0
+        for most in (8, 12, 18, 28, 48):
+            to = at
+            while to < len(new) and len(new[to]) <= most:
+                to += 1
+            for a in range(at, to, 20_000):
+                part = new[a : min(a + 20_000, to)]
+                ids.update(zip(part, self.merged_together(part), strict=True))
+            at = to
+        for p in new[at:]:
+            ids[p] = array("I", self.merged(p)).tobytes()
+        return [ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps]) for ps in cut]
+
     def word(self, word: str) -> list[int]:
         return [i for p in self.pieces(word) for i in self.merged(p)]
 
 
+class _PairTable:
+    """Pairs of ids to (rank, merged id) for whole arrays at once: open addressing with a bounded number of probes."""
+
+    NONE = np.int32(1 << 30)
+
+    def __init__(self, ranks: dict[int, tuple[int, int]]):
+        self.bits = max(4, (4 * len(ranks)).bit_length())
+        keys = np.fromiter(ranks, np.uint64, len(ranks))
+        self.keys = np.full(1 << self.bits, 1 << 63, np.uint64)
+        self.ranks = np.full(1 << self.bits, self.NONE, np.int32)
+        self.merged = np.array([new for _, new in ranks.values()] + [0], np.int32)
+        left, place, self.probes = np.arange(len(keys)), self._slot(keys), 0
+        while len(left):
+            free = left[self.keys[place[left]] == 1 << 63]
+            _, one = np.unique(place[free], return_index=True)
+            put = free[one]
+            self.keys[place[put]], self.ranks[place[put]] = keys[put], put
+            left = np.setdiff1d(left, put)
+            place[left] = place[left] + 1 & (1 << self.bits) - 1
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.uint64) << np.uint64(20) | b.astype(np.uint64)
+        at = self._slot(key)
+        out = np.where(self.keys[at] == key, self.ranks[at], self.NONE)
+        todo = np.flatnonzero((self.keys[at] != key) & (self.keys[at] != 1 << 63))
+        while len(todo):
+            at[todo] = at[todo] + 1 & (1 << self.bits) - 1
+            got = self.keys[at[todo]]
+            hit = got == key[todo]
+            out[todo[hit]] = self.ranks[at[todo[hit]]]
+            todo = todo[~hit & (got != 1 << 63)]
+        return out
+
+
 class Lexicon:
     """A minimal acyclic transducer from words to id sequences, as one block of bytes."""
 
     MAGIC = 0x4B594D4F
 
     def __init__(self, block: np.ndarray):
+        block = block.view(np.ndarray)  # of a memory map too
         magic, self.n_states, n_edges, self.n_words, n_ids, self.longest = (int(x) for x in block[:24].view("<u4"))
         if magic != self.MAGIC:
             raise ValueError("not a lexicon")
@@ -147,6 +251,7 @@ class Lexicon:
 
         self.keys, self.targets, self.outputs = take(n_edges, "<u4"), take(n_edges, "<u4"), take(n_edges, "<u4")
         self.offsets, self.ids, self.final = take(self.n_words + 1, "<u4"), take(n_ids, "<u4"), take(self.n_states, "u1")
+        self._offsets, self._ids = memoryview(self.offsets), memoryview(self.ids)
 
     @classmethod
     def open(cls, path: str) -> Lexicon:
@@ -238,8 +343,8 @@ class Lexicon:
             on, state, total = on[~end], state[~end], total[~end]
         return out
 
-    def ids_bytes(self, place: int) -> bytes:
-        return self.ids[self.offsets[place] : self.offsets[place + 1]].tobytes()
+    def sequence(self, place: int) -> memoryview:
+        return self._ids[self._offsets[place] : self._offsets[place + 1]]
 
 
 def _children_first(edges: list[dict[int, int]]) -> Iterator[int]:
@@ -257,27 +362,37 @@ def _children_first(edges: list[dict[int, int]]) -> Iterator[int]:
 class Encoder:
     """Whole texts to ids: a bounded memory of words before the lexicon, and exact merges behind it."""
 
-    def __init__(self, merges: Merges, lexicon: Lexicon | None = None, memory: int = 150_000, decode: bool = True):
+    def __init__(self, merges: Merges, lexicon: Lexicon | None = None, memory: int = 300_000, decode: bool = True):
         self.merges, self.memory, self.decode = merges, memory, decode
         self.lexicon = lexicon or Lexicon(np.frombuffer(Lexicon.build({}), "u1"))
         self.ids: dict[str, bytes] = {}
         self.shown: dict[str, str] = {}
+        self.again: set[str] = set()
 
     def _learn(self, words: set[str]) -> None:
-        missing = [w for w in words if w not in self.ids]
+        """Make every word known. When the memory is full, words that came again since the last time stay."""
+        missing = list(words.difference(self.ids))
+        self.again.update(words.difference(missing))
         if len(self.ids) + len(missing) > self.memory and self.ids:
-            self.ids.clear()
-            self.shown.clear()
-            missing = list(words)
+            stay = self.again if 2 * len(self.again) < self.memory else set()
+            self.ids = {w: self.ids[w] for w in stay}
+            self.shown = {w: self.shown[w] for w in stay} if self.decode else {}
+            self.again = set()
+            missing = list(words.difference(self.ids))
         token = self.merges.tokens
+        if not missing:
+            return
+        unseen = []
         for w, place in zip(missing, self.lexicon.find([w.encode("utf-8", "surrogatepass") for w in missing]).tolist(), strict=True):
-            if place >= 0:
-                self.ids[w] = raw = self.lexicon.ids_bytes(place)
-                ids = np.frombuffer(raw, "<u4").tolist() if self.decode else []
+            if place < 0:
+                unseen.append(w)
             else:
-                ids = self.merges.word(w)
-                self.ids[w] = np.array(ids, "<u4").tobytes()
-            self.shown[w] = " ".join([token[i] for i in ids]) if self.decode else ""
+                self.ids[w] = self.lexicon.sequence(place).tobytes()
+        if unseen:
+            self.ids.update(zip(unseen, self.merges.words(unseen), strict=True))
+        if self.decode:
+            for w in missing:
+                self.shown[w] = " ".join([token[i] for i in memoryview(self.ids[w]).cast("I")])
 
     def _words(self, text: str) -> list[str]:
         if any(c in text for c in _SEPARATORS):
@@ -313,7 +428,7 @@ class Encoder:
             raw, said = [], []
             for k, w in enumerate(words):
                 if k % 2:
-                    raw.append(np.array([self.merges.special[w]], "<u4").tobytes())
+                    raw.append(array("I", [self.merges.special[w]]).tobytes())
                     said.append(w)
                 else:
                     raw.extend(map(ids, w))
@@ -371,14 +486,14 @@ def _encoder(tokenizer_file: str, name: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def compile_lexicon(docs: DataFrame, tokenizer_file: str, text_col: str = "text", most_words: int = 60_000) -> str:
+def compile_lexicon(docs: DataFrame, tokenizer_file: str, text_col: str = "text", most_words: int = 250_000) -> str:
     """Build the lexicon from the counts over all documents and hand it to the executors; its name there."""
     merges = _merges(tokenizer_file)
     words = [w for w in frequent(word_counts(docs, text_col), most_words) if len(w.encode("utf-8", "surrogatepass")) <= 256 and not any(s in w for s in merges.special)]
     return put_bytes(docs.sparkSession, Lexicon.build({w: merges.word(w) for w in words}), "lexicon")
 
 
-def encode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", most_words: int = 60_000) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", most_words: int = 250_000) -> DataFrame:
     """One row per row of ``docs``: id, ids (array<int>), decoded (string).
 
     Null and empty texts have no ids and decode to an empty string. Repeated rows, null ids and ties stay as they are;
@@ -408,7 +523,7 @@ def _rows(batch: pa.RecordBatch, at: int, ids: list[np.ndarray], decoded: list[s
     return pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())), pa.array(decoded, pa.string())], names=["i", "ids", "decoded"])
 
 
-def digests(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", most_words: int = 60_000) -> DataFrame:
+def digests(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", most_words: int = 250_000) -> DataFrame:
     """As ``encode``, with n_tokens and SHA-256 of ids and decoded text instead of the texts themselves."""
     name = compile_lexicon(docs, tokenizer_file, text_col, most_words)
     kind = docs.schema[id_col].dataType.simpleString()
