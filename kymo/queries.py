@@ -75,7 +75,7 @@ def record_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oversized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.oversized(records(spark, sf_dir), 48).select("user_id", "iteration", "bytes")
+    return streams.oversized(records(spark, sf_dir), 45).select("user_id", "iteration", "bytes")
 
 
 def chunk_descriptors_rollover(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +288,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_projection": f"WITH {_STATES} SELECT user_id, iteration, value, event_type FROM s",
         "record_encode_sha": f"WITH {_LINES} SELECT iteration, bytes, sha256(line || chr(10)) AS sha FROM r",
         "record_decode": "SELECT event_id AS iteration, value, event_type FROM events",
-        "oversized_records": f"WITH {_LINES} SELECT user_id, iteration, bytes FROM r WHERE bytes > 48",
+        "oversized_records": f"WITH {_LINES} SELECT user_id, iteration, bytes FROM r WHERE bytes > 45",
         "chunk_descriptors_rollover": f"WITH RECURSIVE {_CHUNKS} SELECT {_DESCRIBE} FROM f GROUP BY user_id, ordinal",
         "chunk_checksum": f"WITH RECURSIVE {_CHUNKS} SELECT user_id, ordinal, 'chunk-' || lpad(CAST(ordinal AS VARCHAR), 6, '0') || '.jsonl' AS file, {_SHA} FROM f GROUP BY user_id, ordinal",
         "chunk_descriptors_individual": f"WITH {_LINES}, f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY iteration) - 1 AS ordinal FROM r) SELECT {_DESCRIBE}, {_SHA} FROM f GROUP BY user_id, ordinal",
