@@ -79,7 +79,7 @@ def best_fit(lengths: np.ndarray, cap: Capacity) -> tuple[np.ndarray, np.ndarray
 
 @lru_cache(maxsize=1)
 def _encoder(tokenizer_file: str) -> Encoder:
-    return Encoder(Merges(tokenizer_file), decode=False)
+    return Encoder(Merges(tokenizer_file), memory=400_000, decode=False)
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, tokens: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
