@@ -90,3 +90,11 @@ def maybe_in(found: tuple[str, int], values: np.ndarray) -> np.ndarray:
     bits = np.memmap(SparkFiles.get(name), dtype="<u8", mode="r")
     slot = values % slots
     return (bits[slot // 64] >> (slot % 64).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def plainly_named(docs: DataFrame, work, *names: str) -> DataFrame:
+    """``work(renamed docs, *renamed names)`` on columns c0, c1, ..., so that no name of ``docs`` clashes with one inside;
+    the result has those columns and gets the old names back."""
+    columns = docs.columns
+    plain = docs.toDF(*(f"c{k}" for k in range(len(columns))))
+    return work(plain, *(f"c{columns.index(n)}" for n in names)).select(*plain.columns).toDF(*columns)

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import SPACE_RUN, text_or_empty, written
+from kymo.llm.common import SPACE_RUN, plainly_named, text_or_empty, written
 
 
 def normalised(text: Column) -> Column:
@@ -70,9 +70,12 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Of rows that repeat both id and text an arbitrary one stays. Null texts count as empty; a null id stays only where
     its whole group has none.
     """
-    columns = docs.columns
-    kept = exact_groups(docs, id_col, text_col, **options).filter("kept").select(F.col(id_col).alias("_keep_id"), F.col("digest").alias("_keep_digest")).distinct()
     digest = options.get("digest", lambda text: F.unhex(F.sha2(text, 256)))
-    marked = docs.select(*(F.col(f"`{c}`") for c in columns), normalised(text_or_empty(text_col)).alias("_kymo_text")).withColumn("_kymo_digest", digest(F.col("_kymo_text")))
-    joined = marked.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_keep_id")) & (F.col("_kymo_digest") == F.col("_keep_digest")), "left_semi")
-    return joined.dropDuplicates([id_col, "_kymo_text"]).select(*(F.col(f"`{c}`") for c in columns))
+
+    def work(plain: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        kept = exact_groups(plain, id_col, text_col, **options).filter("kept").select(F.col(id_col).alias("_keep"), F.col("digest").alias("_digest")).distinct()
+        marked = plain.withColumn("_text", normalised(text_or_empty(text_col)))
+        here = digest(F.col("_text")) == F.col("_digest")
+        return marked.join(kept, F.col(id_col).eqNullSafe(F.col("_keep")) & here, "left_semi").dropDuplicates([id_col, "_text"])
+
+    return plainly_named(docs, work, id_col, text_col)

@@ -15,9 +15,8 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -174,8 +173,6 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, templates: tuple[Tem
         .select("i", "h", "template", "d", F.size("places").alias("n"))
         .join(needed, "template")
     )
-    from pyspark.sql import Window
-
     order = Window.partitionBy("i", "h", "template").orderBy("d")
     new = F.coalesce(F.col("d") - F.lag("d").over(order) > F.when(F.col("exact"), 0).otherwise(gap), F.lit(True))
     return (
@@ -233,17 +230,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     spans = found.groupBy(F.col("i").alias("i2"), F.col("h").alias("h2")).agg(F.collect_list(F.struct("template", "low", "high")).alias("c"))
     joined = texts.join(spans, (F.col("h") == F.col("h2")) & F.col("i").eqNullSafe(F.col("i2")), "left").select("i", "n", F.when(F.col("c").isNotNull(), F.col("t")).alias("t"), "c")
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [("label", pa.string()), ("template", pa.int32()), ("exact", pa.bool_()), ("start", pa.int64()), ("end", pa.int64()), ("coverage", pa.float64())]
         for batch in batches:
             out = []
-            for text, wanted in zip(batch["t"], batch["c"], strict=True):
-                if wanted is None:
+            for text, wanted in zip(batch.column(2), batch.column(3), strict=True):
+                if not wanted.is_valid:
                     out.append([])
                     continue
-                words = words_of(text)
-                got = (verified(words, templates[c["template"]], c["template"], c["low"], c["high"], least) for c in wanted)
+                words = words_of(text.as_py())
+                got = (verified(words, templates[c["template"]], c["template"], c["low"], c["high"], least) for c in wanted.as_py())
                 out.append(sorted((g for g in got if g), key=lambda g: (g["start"], g["end"], g["template"])))
-            yield pd.DataFrame({id_col: batch["i"], "n_words": batch["n"], "spans": out})
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct(kinds)))], names=["i", "n", "s"])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("spans", T._parse_datatype_string(f"array<{SPAN}>"))])
-    return joined.mapInPandas(verify, schema)
+    return joined.mapInArrow(verify, schema)

@@ -20,7 +20,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import put_bytes, text_or_empty
+from kymo.llm.common import plainly_named, put_bytes, text_or_empty
 from kymo.llm.license_scan import grams, word_hashes
 
 #: Bytes of words: all but the space and the control characters from tab to carriage return.
@@ -229,7 +229,4 @@ def scored(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: st
 
 def keep_good(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` that are predicted good, with their columns."""
-    columns = docs.columns
-    plain = docs.toDF(*(f"c{k}" for k in range(len(columns))))
-    found = _scored(plain, model, f"c{columns.index(text_col)}", plain.columns, settings)
-    return found.filter(F.col("score") >= settings.threshold).drop("score").toDF(*columns)
+    return plainly_named(docs, lambda plain, _, text: _scored(plain, model, text, plain.columns, settings).filter(F.col("score") >= settings.threshold), id_col, text_col)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import text_or_empty, written
+from kymo.llm.common import plainly_named, text_or_empty, written
 from kymo.llm.components import components
 
 LOW = 0x5555555555555555
@@ -196,6 +196,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Of rows that repeat an id and a text one stays; rows with a null id stay only where their component has no other.
     """
-    keep = groups(docs, id_col, text_col, **options).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.select(*columns).join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates([id_col])
+
+    def work(plain: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        keep = groups(plain, id_col, text_col, **options).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
+        return plain.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates([id_col])
+
+    return plainly_named(docs, work, id_col, text_col)
