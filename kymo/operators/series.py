@@ -26,8 +26,11 @@ def append(series: DataFrame, more: DataFrame, keys: Sequence[str] = (), iterati
     shape = lambda d: [(f.name, f.dataType) for f in d.schema]
     if shape(series) != shape(more):
         raise SeriesError("schema_mismatch", "the rows have another schema", more)
-    last = series.groupBy(*keys).agg(F.max(iteration).alias("_last")) if keys else series.agg(F.max(iteration).alias("_last"))
-    joined = more.join(last, list(keys), "left") if keys else more.crossJoin(last)
+    last = F.max(iteration).alias("_last")
+    if keys:
+        joined = more.join(series.groupBy(*keys).agg(last), list(keys), "left")
+    else:
+        joined = more.withColumn("_last", F.lit(series.agg(last).first()["_last"]))
     twice = F.count(F.lit(1)).over(Window.partitionBy(*keys, iteration)) > 1
     bad = joined.withColumn("_twice", twice).filter((F.col(iteration) <= F.col("_last")) | F.col("_twice")).drop("_last", "_twice")
     if not bad.isEmpty():

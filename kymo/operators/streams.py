@@ -6,11 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kymo.errors import StorageError
 from kymo.functions.columns import due, json_text, record_line
+from kymo.operators.series import latest_state
 from kymo.operators.state import StateSchema
 
 
@@ -77,12 +78,16 @@ def projected(schema: StateSchema, wanted: Sequence[str]) -> list[str]:
 
 
 def sampled(states: DataFrame, interval: int, keys: Sequence[str] = (), final: bool = False, iteration: str = "iteration") -> DataFrame:
-    """Due rows; with ``final`` also the last row of each key, whatever the interval, and once."""
+    """Due rows; with ``final`` also the last row of each key, whatever the interval, and once.
+
+    Due rows are a pushed-down filter; last rows are one aggregation, combined before its shuffle. So the states
+    themselves are never shuffled or sorted as a whole, and a hot key is no hot task.
+    """
     on = due(F.col(iteration), interval)
     if not final:
         return states.filter(on)
-    last = F.max(iteration).over(Window.partitionBy(*keys))
-    return states.withColumn("_last", last).filter(on | (F.col(iteration) == F.col("_last"))).drop("_last")
+    last = latest_state(states, keys, iteration).filter(~on).select(*states.columns)
+    return states.filter(on).unionByName(last.filter(F.col(iteration).isNotNull()))
 
 
 def encoded(states: DataFrame, fields: Sequence[str], keys: Sequence[str] = (), kinds: dict[str, str] | None = None) -> DataFrame:

@@ -51,7 +51,7 @@ def _number(column: str, kind: str) -> Column:
 
 
 def sample_interval_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.sampled(states(spark, sf_dir), 10, KEYS, final=True).select("user_id", "iteration", "physical_time", "value", "event_type")
+    return streams.sampled(states(spark, sf_dir).drop("props"), 10, KEYS, final=True)
 
 
 def sample_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
