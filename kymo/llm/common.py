@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 
 import numpy as np
+from py4j.protocol import Py4JError, Py4JNetworkError
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +37,29 @@ def workers_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables; it goes when the driver's Python ends."""
+    key = spark.sparkContext.applicationId + shared_dir(spark)
+    if key not in _FOLDERS:
+        _FOLDERS[key] = f"{shared_dir(spark)}/kymo-{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_FOLDERS[key])
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        atexit.register(_remove, system, path)
+    return _FOLDERS[key]
+
+
+def _remove(system, path) -> None:
+    with contextlib.suppress(Py4JError, Py4JNetworkError, OSError):  # the JVM may be gone
+        system.delete(path, True)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, and a lost executor costs only a new read."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kymo/{what}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -46,7 +68,7 @@ def put_bytes(spark: SparkSession, data: bytes, what: str) -> str:
     """Write ``data`` as one file in the shared folder and hand it to every executor; the name for SparkFiles.get."""
     name = f"{what}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/kymo/{name}")
+    path = jvm.org.apache.hadoop.fs.Path(f"{own_folder(spark)}/{name}")
     stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
     try:
         stream.write(bytearray(data))
