@@ -19,10 +19,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kymo.llm.common import bit_table, maybe_in, text_or_empty, written
+from kymo.llm.common import bit_table, maybe_in, plainly_named, text_or_empty, written
 from kymo.llm.components import components
 from kymo.llm.simhash import _Forest
 
@@ -37,8 +37,8 @@ class Fuzzy:
     least: float = 0.8
     bands: int = 12
     rows: int = 4
-    short: int = 256
-    long: int = 160
+    short: int = 128
+    long: int = 100
     bucket_rows: int = 512
 
 
@@ -135,12 +135,21 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, fuzzy: Fuzzy) -> Da
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed: set[int] = set()
         for batch in batches:
             rows, numbers, held, size = [], [], [], 0
 
             def flush() -> pa.RecordBatch:
                 hi, lo = _digests(held)  # noqa: B023
-                line, key = signatures(*shingles(held, fuzzy.width), fuzzy)  # noqa: B023
+                new = []  # copies of a line give its keys once a task
+                for k, x in enumerate(lo.tolist()):
+                    if x not in signed:
+                        signed.add(x)
+                        new.append(k)
+                if len(signed) > 200_000:
+                    signed.clear()
+                line, key = signatures(*shingles([held[k] for k in new], fuzzy.width), fuzzy)  # noqa: B023
+                line = np.array(new, np.int64)[line]
                 order = np.argsort(line, kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(held)))])  # noqa: B023
                 keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[order].view(np.int64)))
@@ -189,16 +198,28 @@ def _linked(frame_bucket: np.ndarray, texts: list[str], node: np.ndarray, fuzzy:
     """Spanning links between members of equal bucket (sorted) whose shingle sets have Jaccard similarity of ``least`` or more."""
     n = len(texts)
     hashes, offsets = shingles(texts, fuzzy.width)
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    order = np.lexsort((hashes, row))
-    hashes, row = hashes[order], row[order]
-    new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])])
-    hashes, row = hashes[new], row[new]
+    key = np.sort(np.repeat(np.arange(n).astype(_U) << _U(50), np.diff(offsets)) | hashes >> _U(14))
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    row, hashes = (key >> _U(50)).astype(np.int64), key & _U((1 << 50) - 1)
     size = np.bincount(row, minlength=n)
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
     ends = np.concatenate([np.flatnonzero(frame_bucket[1:] != frame_bucket[:-1]) + 1, [n]])
-    a = 0
-    for b in ends.tolist():
+    begins = np.concatenate([[0], ends[:-1]])
+    both = np.zeros(n, np.int64)  # of each pair that is a bucket of its own, at its first row
+    pairs = np.flatnonzero(ends - begins == 2)
+    of_pair = np.zeros(n, bool)
+    of_pair[begins[pairs]] = of_pair[begins[pairs] + 1] = True
+    on = of_pair[row]
+    lead = np.repeat(begins, ends - begins)[row[on]]
+    key = np.sort(lead.astype(_U) << _U(50) | hashes[on])
+    np.add.at(both, (key[1:][key[1:] == key[:-1]] >> _U(50)).astype(np.int64), 1)
+    alike = both[begins[pairs]] >= fuzzy.least * (size[begins[pairs]] + size[begins[pairs] + 1] - both[begins[pairs]])
+    for x in begins[pairs][alike].tolist():
+        if forest.join(int(node[x]), int(node[x + 1])):
+            yield x, x + 1
+    for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+        if b - a <= 2:
+            continue
         rest, front = list(range(a + 1, b)), [a]
         while front or rest:
             if not front:
@@ -214,9 +235,9 @@ def _linked(frame_bucket: np.ndarray, texts: list[str], node: np.ndarray, fuzzy:
             if tested:
                 pick = np.concatenate([np.arange(first[y], first[y] + size[y]) for y in tested])
                 at = np.minimum(np.searchsorted(own, hashes[pick]), len(own) - 1)
-                both = np.add.reduceat(own[at] == hashes[pick], np.concatenate([[0], np.cumsum(size[tested])[:-1]]), dtype=np.int64)
-                union = size[x] + size[tested] - both
-                for y, good in zip(tested, (both >= fuzzy.least * union).tolist(), strict=True):
+                common = np.add.reduceat(own[at] == hashes[pick], np.concatenate([[0], np.cumsum(size[tested])[:-1]]), dtype=np.int64)
+                union = size[x] + size[tested] - common
+                for y, good in zip(tested, (common >= fuzzy.least * union).tolist(), strict=True):
                     if good:
                         joined.add(y)
                         if forest.join(int(node[x]), int(node[y])):
@@ -224,16 +245,15 @@ def _linked(frame_bucket: np.ndarray, texts: list[str], node: np.ndarray, fuzzy:
             if joined:
                 front.extend(joined)
                 rest = [y for y in rest if y not in joined]
-        a = b
 
 
 def line_links(docs: DataFrame, seen: DataFrame, text_col: str, fuzzy: Fuzzy) -> DataFrame:
     """Links (a, b) between lo of different lines; ``seen`` is ``occurrences`` as a table."""
     spark = docs.sparkSession
-    keyed = seen.select("lo", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("lo").alias("x"), F.max("lo").alias("y"), F.bit_xor(F.xxhash64("lo", "key")).alias("_"))
-    shared = buckets.filter("x <> y").select("key")
-    members = written(keyed.join(shared, "key", "left_semi").distinct(), "line-buckets")
+    keyed = seen.select(F.explode("keys").alias("key"), "lo")
+    same = Window.partitionBy("key")
+    shared = keyed.withColumns({"x": F.min("lo").over(same), "y": F.max("lo").over(same)}).filter("x <> y")
+    members = written(shared.select("key", "lo").distinct(), "line-buckets")
     alike = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("lo").cast("decimal(20,0)")).alias("s"), F.min("lo").alias("x"))
     once = written(alike.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", "n"), "line-buckets-once")
     chosen = members.join(once, "key")
@@ -258,7 +278,7 @@ def line_links(docs: DataFrame, seen: DataFrame, text_col: str, fuzzy: Fuzzy) ->
         for batch in batches:
             keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
             for key, lo, text in zip(keys, batch.column(3).to_pylist(), batch.column(4), strict=True):
-                if chars > 500_000 and held[-1][0] != key:
+                if (chars > 500_000 or len(held) > 8_000) and held[-1][0] != key:
                     yield found(held)
                     held, chars = [], 0
                 held.append((key, lo, text.as_py()))
@@ -298,11 +318,13 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the lines that stay, in order and as written; all other columns as they are (``count_col``, if named
     and there, becomes the new text's length). A null text stays null; a text that loses all lines with words becomes
     what blank lines it has."""
-    gone = decisions(docs, id_col, text_col, fuzzy).filter(~F.col("kept"))
-    gone = written(gone.groupBy(F.col(id_col).alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone")), "dropped-lines")
-    joined = docs.select(*(F.col(f"`{c}`") for c in docs.columns)).join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone_id")), "left")
-    lines = F.split(F.col(f"`{text_col}`"), "\n")
-    rest = F.filter(lines, lambda x, k: ~F.array_contains("_gone", k))
-    text = F.when(F.col("_gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(rest, "\n"))
-    kept = joined.withColumn("_kymo_text", text)
-    return kept.select(*(F.col("_kymo_text").alias(c) if c == text_col else F.length("_kymo_text").cast(docs.schema[c].dataType).alias(c) if c == count_col else F.col(f"`{c}`") for c in docs.columns))
+
+    def work(plain: DataFrame, id_col: str, text_col: str, *count: str) -> DataFrame:
+        gone = decisions(plain, id_col, text_col, fuzzy).filter(~F.col("kept"))
+        gone = written(gone.groupBy(F.col(id_col).alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone")), "dropped-lines")
+        joined = plain.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")), "left")
+        rest = F.filter(F.split(text_col, "\n"), lambda _, k: ~F.array_contains("_gone", k))
+        kept = joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n")))
+        return kept.withColumns({c: F.length(text_col).cast(plain.schema[c].dataType) for c in count})
+
+    return plainly_named(docs, work, id_col, text_col, *([count_col] if count_col in docs.columns else []))
