@@ -5,7 +5,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +17,10 @@ from pyspark.sql import functions as F
 from kymo.functions import columns
 from kymo.operators import chunks, series, state, streams
 from kymo.plans.params import ParameterSpace, Sweep
+from kymo.plans.runtime import Phase, Plan, activity_tasks, progress_tasks
+from kymo.sources.reader import RecordingReader, faults
+from kymo.sources.writer import RecordingBuilder
+from kymo.streaming.sink import capture
 
 START = "2024-01-01 00:00:00"
 KEYS = ["user_id"]
@@ -251,12 +258,116 @@ def hopf_step(spark: SparkSession, sf_dir: str, steps: int = 90) -> DataFrame:
     return own.select(_number("/mu", "double").alias("mu")).groupBy("mu").applyInPandas(evolve, "mu double, iteration bigint, x double, y double")
 
 
+def recordings_root(spark: SparkSession) -> Path:
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir`` where that is a mounted folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared and re.match(r"(file:)?/", shared):
+        base = Path(shared.removeprefix("file://").removeprefix("file:"))
+        base.mkdir(parents=True, exist_ok=True)
+        return Path(tempfile.mkdtemp(prefix="recordings-", dir=base))
+    return Path(tempfile.mkdtemp(prefix="recordings-"))
+
+
+EVENT_SCHEMA = state.StateSchema([state.Field("value", "Measured value"), state.Field("event_type")])
+EVENT_KINDS = {"value": "double", "event_type": "string"}
+
+
+def event_builder(root: Path) -> RecordingBuilder:
+    """Two streams over all events as one series: values of every tenth, whole states of every hundredth."""
+    built = RecordingBuilder(root / "events", EVENT_SCHEMA).with_shared_storage(streams.Storage(16_384, 65_536)).with_time_axis("event", None, "time", "s")
+    return built.add_stream(streams.StreamConfig("values", ("value",), 10)).add_stream(streams.StreamConfig("whole", ("event_type", "value"), 100))
+
+
+def _event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states(spark, sf_dir).select("iteration", "physical_time", "value", "event_type")
+
+
+def _recorded(spark: SparkSession, sf_dir: str, final: bool = True) -> RecordingReader:
+    root = recordings_root(spark)
+    with event_builder(root).create() as writer:
+        writer.record(_event_rows(spark, sf_dir), final=final)
+        writer.complete()
+    return RecordingReader(spark, root / "events")
+
+
+def recording_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded by executors, verified and decoded again."""
+    rows = _recorded(spark, sf_dir).read_stream("whole", EVENT_KINDS)
+    return rows.select(F.col("iteration").cast("bigint").alias("iteration"), "physical_time", "value", "event_type")
+
+
+def recording_pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds on the iteration choose chunks by their descriptors."""
+    rows = _recorded(spark, sf_dir).lines("values").filter((F.col("iteration") >= 300) & (F.col("iteration") < 700))
+    return rows.select("stream", F.col("iteration").cast("bigint").alias("iteration"))
+
+
+def recording_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and ranges from descriptors alone."""
+    found = _recorded(spark, sf_dir).chunks().groupBy("stream").agg(F.sum("records").alias("records"), F.min("first_iteration").cast("bigint").alias("first_iteration"), F.max("last_iteration").cast("bigint").alias("last_iteration"))
+    return found.select("stream", "records", "first_iteration", "last_iteration")
+
+
+def recording_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest chunk's last record of each stream."""
+    reader = _recorded(spark, sf_dir)
+    rows = [(n, *reader.latest_state(n)[:2], reader.latest_state(n)[2]["value"]) for n in reader.stream_names()]
+    return spark.createDataFrame(rows, "stream string, iteration bigint, physical_time double, value double")
+
+
+def recording_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that aren't what their descriptors say, after one was lengthened and one changed."""
+    reader = _recorded(spark, sf_dir)
+    folder = Path(reader.root) / "streams"
+    with (folder / "values" / "chunk-000000.jsonl").open("ab") as f:
+        f.write(b"{}")
+    whole = folder / "whole" / "chunk-000000.jsonl"
+    whole.write_bytes(whole.read_bytes().replace(b"1", b"2", 1))
+    return faults(spark, reader.root, reader.document)
+
+
+def recording_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recording that was left running goes on from its newest whole state; later records are rewound and made again."""
+    root = recordings_root(spark)
+    rows = _event_rows(spark, sf_dir)
+    with event_builder(root).create() as writer:
+        writer.record(rows.filter("iteration <= 555"))
+    writer, restored = event_builder(root).continue_from_checkpoint()
+    with writer:
+        writer.record(rows.filter((F.col("iteration") > restored.iteration) & (F.col("iteration") <= 800)))
+        writer.complete()
+    found = RecordingReader(spark, root / "events").read_stream("values", {"value": "double"})
+    return found.select(F.col("iteration").cast("bigint").alias("iteration"), "value", F.lit(restored.iteration).cast("bigint").alias("restored"))
+
+
+def stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream into a recording, in micro-batches."""
+    root = recordings_root(spark)
+    table_schema = table(spark, sf_dir, "events").schema
+    source = spark.readStream.schema(table_schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    live = source.select(F.col("event_id").alias("iteration"), columns.seconds_since(F.col("ts"), START).alias("physical_time"), "value", "event_type")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    with event_builder(root).create() as writer:
+        query = capture(live, writer, str(root / "checkpoint"))
+        query.processAllAvailable()
+        query.stop()
+        writer.complete()
+    return RecordingReader(spark, root / "events").read_stream("whole", EVENT_KINDS).select(F.col("iteration").cast("bigint").alias("iteration"), "value", "event_type")
+
+
+def plan_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The task table of a plan: one phase of simulations, one that reuses their checks."""
+    plan = Plan([Phase(1, "simulate", progress_tasks(space(), "run", 3, lambda c: None), delay_per_task=0.5), Phase(2, "check", activity_tasks(space(), "check", None), (1,))])
+    return plan.tasks(spark).select("phase", "task", F.col("ordinal"), "status", "delay_rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         sample_interval_final, sample_interval, stream_projection, record_encode_sha, record_decode, oversized_records, chunk_descriptors_rollover, chunk_checksum,
         chunk_descriptors_individual, stream_summary, rewind_prefix, checkpoint_choice, latest_state, first_state, state_at_position, series_replace_at, series_pop,
         series_append, order_violations, physical_time, time_advance, populated_fields, sweep_cartesian, sweep_over_tables, sweep_cases, sweep_match, sweep_unique,
-        fixed_join_sweep_json, parameter_leaves, param_leaves, param_conflicts, status_summary, phase_closure, release_offsets, varying_keys, task_select,
+        fixed_join_sweep_json, parameter_leaves, param_leaves, param_conflicts, status_summary, phase_closure, release_offsets, varying_keys, task_select, plan_tasks,
+        recording_roundtrip, recording_pruned_scan, recording_catalog, recording_latest, recording_faults, recording_resume, stream_capture,
     )
     return {f.__name__: f for f in found} | {"hopf_trajectory": hopf_step}
 
@@ -319,5 +430,13 @@ def oracle_sql() -> dict[str, str]:
         "release_offsets": "WITH t AS (SELECT n_regionkey AS phase, n_nationkey AS task, n_nationkey % 3 = 0 AS reused FROM nation), r AS (SELECT *, CASE WHEN NOT reused THEN row_number() OVER (PARTITION BY phase, reused ORDER BY task) - 1 END AS delay_rank FROM t) SELECT *, delay_rank * 250000000 AS release_offset_ns FROM r",
         "varying_keys": f"WITH {_SPACE} SELECT '/temperature' AS pointer, count(DISTINCT temperature) AS kinds FROM t UNION ALL SELECT '/seed', count(DISTINCT seed) FROM t",
         "task_select": "SELECT o_orderkey AS task, o_orderpriority AS phase, o_orderstatus AS kind FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' AND o_orderkey % 2 = 1",
+        "plan_tasks": "SELECT 1 AS phase, 'run:' || i AS task, i AS ordinal, 'pending' AS status, i AS delay_rank FROM range(6) r(i) UNION ALL SELECT 2, 'check:' || i, i, 'reused', NULL FROM range(6) r(i)",
+        "recording_roundtrip": f"WITH {_STATES} SELECT iteration, physical_time, value, event_type FROM s QUALIFY iteration % 100 = 0 OR iteration = max(iteration) OVER ()",
+        "recording_pruned_scan": f"WITH {_STATES} SELECT 'values' AS stream, iteration FROM s WHERE iteration % 10 = 0 AND iteration >= 300 AND iteration < 700",
+        "recording_catalog": f"WITH {_STATES}, t AS (SELECT 'values' AS stream, 10 AS n UNION ALL SELECT 'whole', 100), m AS (SELECT stream, iteration FROM s, t WHERE iteration % n = 0 OR iteration = (SELECT max(iteration) FROM s)) SELECT stream, count(*) AS records, min(iteration) AS first_iteration, max(iteration) AS last_iteration FROM m GROUP BY stream",
+        "recording_latest": f"WITH {_STATES} SELECT t.stream, iteration, physical_time, value FROM s, (VALUES ('values'), ('whole')) t(stream) WHERE iteration = (SELECT max(iteration) FROM s)",
+        "recording_faults": "SELECT 'values' AS stream, 0 AS ordinal, 'size_mismatch' AS fault UNION ALL SELECT 'whole', 0, 'checksum_mismatch'",
+        "recording_resume": f"WITH {_STATES} SELECT iteration, value, 500 AS restored FROM s WHERE iteration % 10 = 0 AND iteration <= 800",
+        "stream_capture": f"WITH {_STATES} SELECT iteration, value, event_type FROM s WHERE iteration % 100 = 0",
         "hopf_trajectory": "WITH RECURSIVE h AS (SELECT CAST(mu AS DOUBLE) AS mu, 0 AS iteration, 1.0::DOUBLE AS x, 0.0::DOUBLE AS y FROM (VALUES (-0.25), (0.25), (1.0)) AS v(mu) UNION ALL SELECT mu, iteration + 1, x + 0.01 * (mu * x - 1.0 * y - (x * x + y * y) * x), y + 0.01 * (1.0 * x + mu * y - (x * x + y * y) * y) FROM h WHERE iteration < 90) SELECT mu, CAST(iteration AS BIGINT) AS iteration, round(x, 9) AS x, round(y, 9) AS y FROM h",
     }
