@@ -149,8 +149,7 @@ class Network:
             g = gates[t]
             np.add(gx[: 2 * h, t], a[: 2 * h], out=g)
             np.negative(g, out=g)
-            np.clip(g, -30, 30, out=g)
-            np.exp(g, out=g)
+            np.exp(g, out=g)  # may overflow; its reciprocal is 0 then
             g += 1
             np.reciprocal(g, out=g)
             inner[t] = a[2 * h :]
@@ -172,23 +171,27 @@ class Network:
         there = target >= 0
         cls = np.where(target < s.frequent, target // s.members, self.n_frequent_classes + target - s.frequent)
         cls[~there] = 0
-        at = np.arange(n)
-        logit = p["wc"] @ flat
-        logit += p["bc"][:, None]
-        logit -= logit.max(axis=0)
-        own = logit[cls, at]
-        np.exp(logit, out=logit)
-        total = logit.sum(axis=0)
-        out = np.where(there, own - np.log(total), 0.0)
-        slope = None
+        out = np.empty(n)
         scale = np.float32(1 / max(int(there.sum()), 1))
-        if grads is not None:
-            logit /= total
-            logit[cls, at] -= 1
-            logit *= there * scale
-            grads["wc"] += logit @ flat.T
-            grads["bc"] += logit.sum(axis=1)
-            slope = p["wc"].T @ logit
+        slope = None if grads is None else np.empty_like(flat)
+        back_c = np.ascontiguousarray(p["wc"].T)
+        for a in range(0, n, 1024):  # what is worked on stays in the cache
+            x, c, on = np.ascontiguousarray(flat[:, a : a + 1024]), cls[a : a + 1024], there[a : a + 1024]
+            at = np.arange(len(c))
+            logit = p["wc"] @ x
+            logit += p["bc"][:, None]
+            if not -60 < logit.min() <= logit.max() < 60:
+                logit -= logit.max(axis=0)
+            own = logit[c, at]
+            np.exp(logit, out=logit)
+            total = logit.sum(axis=0)
+            out[a : a + 1024] = np.where(on, own - np.log(total), 0.0)
+            if grads is not None:
+                logit *= on * scale / total
+                logit[c, at] -= on * scale
+                grads["wc"] += logit @ x.T
+                grads["bc"] += logit.sum(axis=1)
+                slope[:, a : a + 1024] = back_c @ logit
         some = np.flatnonzero(there & (target < s.frequent))
         some = some[np.argsort(cls[some].astype(np.int16), kind="stable")]
         edges = np.searchsorted(cls[some], np.arange(self.n_frequent_classes + 1))
@@ -202,7 +205,8 @@ class Network:
             x = picked[:, a:b]
             inner = p["wm"][rows] @ x
             inner += p["bm"][rows, None]
-            inner -= inner.max(axis=0)
+            if not -60 < inner.min() <= inner.max() < 60:
+                inner -= inner.max(axis=0)
             member = target[some[a:b]] - c * s.members
             k = np.arange(b - a)
             own = inner[member, k]
@@ -210,9 +214,8 @@ class Network:
             total = inner.sum(axis=0)
             out[some[a:b]] += own - np.log(total)
             if grads is not None:
-                inner /= total
-                inner[member, k] -= 1
-                inner *= scale
+                inner *= scale / total
+                inner[member, k] -= scale
                 grads["wm"][rows] += inner @ x.T
                 grads["bm"][rows] += inner.sum(axis=1)
                 back[:, a:b] = p["wm"][rows].T @ inner
@@ -247,6 +250,7 @@ class Network:
         rows = np.concatenate([da[: 2 * h], dn_all]).reshape(3 * h, -1).T
         grads["table"][units[first]] += np.add.reduceat(rows[order], first, axis=0)
 
+    @np.errstate(over="ignore")
     def train(self, texts: list[np.ndarray], memory: dict[str, np.ndarray]) -> None:
         """One pass of Adagrad over the texts, truncated at windows; ``memory`` holds the squares so far."""
         for seen, start, target, state, _ in windows(texts, self.s, self.p["table"].shape[0] - 1):
@@ -263,6 +267,7 @@ class Network:
                 memory[k] += g * g
                 self.p[k] -= self.s.rate * g / np.sqrt(memory[k])
 
+    @np.errstate(over="ignore")
     def log10(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each whole text; the state goes through all its windows."""
         out = np.zeros(len(texts))
@@ -295,30 +300,31 @@ def windows(texts: list[np.ndarray], s: Settings, start_unit: int) -> Iterator[t
         heapq.heappush(heap, (size + len(texts[k]), j))
     sizes = [sum(len(texts[k]) for k in x) for x in streams]
     by_size = sorted(range(n), key=lambda j: -sizes[j])
-    target = [np.concatenate([texts[k] for k in streams[j]]) for j in by_size]
-    begin = [np.cumsum([0, *(len(texts[k]) for k in streams[j])]) for j in by_size]
+    target = [np.concatenate([texts[k] for k in streams[j]]).astype(np.int32) for j in by_size]
+    owners = [np.repeat(np.array(streams[j], np.int32), [len(texts[k]) for k in streams[j]]) for j in by_size]
+    begin = [np.cumsum([0, *(len(texts[k]) for k in streams[j])])[:-1] for j in by_size]
     lengths = np.array([sizes[j] for j in by_size])
     state = _State(np.zeros((s.hidden, n), np.float32))
-    for at in range(0, int(lengths[0]), s.window):
-        live = int(np.searchsorted(-lengths, -at, side="left"))
-        seen, starts = np.full((s.window, live), start_unit, np.int64), np.zeros((s.window, live), bool)
-        want, owner = np.full((s.window, live), -1, np.int64), np.full((s.window, live), -1, np.int64)
+    block = 32 * s.window  # laid out at once
+    before = np.full(n, start_unit, np.int32)
+    for base in range(0, int(lengths[0]), block):
+        live = int(np.searchsorted(-lengths, -base, side="left"))
+        want, owner = np.full((block, live), -1, np.int32), np.full((block, live), -1, np.int32)
+        starts = np.zeros((block, live), bool)
         for j in range(live):
-            part = target[j][at : at + s.window]
+            part = target[j][base : base + block]
             want[: len(part), j] = part
-            seen[1 : len(part), j] = part[:-1]
-            if at:
-                seen[0, j] = target[j][at - 1]
-            a = int(np.searchsorted(begin[j], at, side="right")) - 1
-            b = int(np.searchsorted(begin[j], at + len(part), side="left"))
-            own = streams[by_size[j]]
-            for k in range(a, b):
-                p, q = max(begin[j][k] - at, 0), min(begin[j][k + 1] - at, len(part))
-                owner[p:q, j] = own[k]
-                if begin[j][k] >= at:
-                    seen[p, j], starts[p, j] = start_unit, True
-        state.now = state.now[:, :live]
-        yield seen, starts, want, state, owner
+            owner[: len(part), j] = owners[j][base : base + block]
+            a, b = np.searchsorted(begin[j], (base, base + block))
+            starts[begin[j][a:b] - base, j] = True
+        seen = np.concatenate([before[None, :live], want[:-1]])
+        seen[starts | (seen < 0)] = start_unit
+        before = want[-1]
+        for at in range(0, min(block, int(lengths[0]) - base), s.window):
+            on = int(np.searchsorted(-lengths, -(base + at), side="left"))
+            rows = slice(at, at + s.window)
+            state.now = state.now[:, :on]
+            yield seen[rows, :on], starts[rows, :on], want[rows, :on].astype(np.int64), state, owner[rows, :on]
 
 
 def token_counts(docs: DataFrame, text_col: str) -> DataFrame:
