@@ -16,6 +16,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,12 @@ class Merges:
     def pieces(self, word: str) -> list[bytes]:
         """A word without white space as the pieces within which merges happen."""
         if word.isascii():
-            return [p.encode() for p in self.pieces_of_latin(word.lower())]
+            low = word.lower()
+            if low.isalpha():
+                return [low.encode()]
+            if low[:-1].isalpha() and not low[-1].isalnum():
+                return [low[:-1].encode(), low[-1:].encode()]
+            return [p.encode() for p in self.pieces_of_latin(low)]
         if max(word) < "ƀ" and "\x85" not in word and "\xa0" not in word and "İ" not in word:  # composed already; no special lower case
             return [p.encode() for p in self.pieces_of_latin(word.lower())]
         found = self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(word))
@@ -362,22 +368,19 @@ def _children_first(edges: list[dict[int, int]]) -> Iterator[int]:
 class Encoder:
     """Whole texts to ids: a bounded memory of words before the lexicon, and exact merges behind it."""
 
-    def __init__(self, merges: Merges, lexicon: Lexicon | None = None, memory: int = 300_000, decode: bool = True):
+    def __init__(self, merges: Merges, lexicon: Lexicon | None = None, memory: int = 500_000, decode: bool = True):
         self.merges, self.memory, self.decode = merges, memory, decode
         self.lexicon = lexicon or Lexicon(np.frombuffer(Lexicon.build({}), "u1"))
         self.ids: dict[str, bytes] = {}
         self.shown: dict[str, str] = {}
-        self.again: set[str] = set()
 
     def _learn(self, words: set[str]) -> None:
-        """Make every word known. When the memory is full, words that came again since the last time stay."""
+        """Make every word known. When the memory is full, the quarter that was learnt first stays: frequent words come early."""
         missing = list(words.difference(self.ids))
-        self.again.update(words.difference(missing))
         if len(self.ids) + len(missing) > self.memory and self.ids:
-            stay = self.again if 2 * len(self.again) < self.memory else set()
+            stay = list(islice(self.ids, self.memory // 4))
             self.ids = {w: self.ids[w] for w in stay}
             self.shown = {w: self.shown[w] for w in stay} if self.decode else {}
-            self.again = set()
             missing = list(words.difference(self.ids))
         token = self.merges.tokens
         if not missing:
@@ -432,7 +435,8 @@ class Encoder:
                     said.append(w)
                 else:
                     raw.extend(map(ids, w))
-                    said.extend(filter(None, map(shown, w)))
+                    if self.decode:
+                        said.extend(filter(None, map(shown, w)))
             yield b"".join(raw), " ".join(said)
 
 

@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,7 +78,7 @@ def best_fit(lengths: np.ndarray, cap: Capacity) -> tuple[np.ndarray, np.ndarray
 
 @lru_cache(maxsize=1)
 def _encoder(tokenizer_file: str) -> Encoder:
-    return Encoder(Merges(tokenizer_file), memory=400_000, decode=False)
+    return Encoder(Merges(tokenizer_file), memory=800_000, decode=False)
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, tokens: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -128,12 +127,12 @@ def pack_pieces(found: DataFrame, id_col: str = "doc_id", capacity: Capacity = C
     groups = max(1, round(found.count() / group_rows))
     schema = found.schema.add("sequence_id", "long").add("offset", "long")
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop(columns="_group").sort_values([id_col, "piece"], kind="stable").reset_index(drop=True)
-        where, offset = best_fit(group["length"].to_numpy(np.int64), capacity)
-        return group.assign(sequence_id=where + (key[0] << 40), offset=offset)
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.drop_columns("_group").sort_by([(id_col, "ascending"), ("piece", "ascending")])
+        where, offset = best_fit(group["length"].to_numpy().astype(np.int64), capacity)
+        return group.append_column("sequence_id", pa.array(where + (key[0].as_py() << 40))).append_column("offset", pa.array(offset))
 
-    return found.withColumn("_group", F.pmod(F.xxhash64(id_col, "piece"), F.lit(groups))).groupBy("_group").applyInPandas(run, schema)
+    return found.withColumn("_group", F.pmod(F.xxhash64(id_col, "piece"), F.lit(groups))).groupBy("_group").applyInArrow(run, schema)
 
 
 def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: Capacity = Capacity(), with_ids: bool = True, group_rows: int = 24_000) -> DataFrame:
