@@ -19,7 +19,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kymo.llm.common import bit_table, maybe_in, plainly_named, text_or_empty, written
@@ -44,9 +44,12 @@ class Fuzzy:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """Full avalanche of 64-bit numbers (the finaliser of splitmix64)."""
-    x = (x ^ x >> _U(30)) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> _U(27)) * _U(0x94D049BB133111EB)
-    return x ^ x >> _U(31)
+    x = x ^ x >> _U(30)
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
 
 
 def shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,10 +57,12 @@ def shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     pad = "\0" * (width - 1)
     codes = np.frombuffer((pad.join(lines) + pad).encode("utf-32-le", "surrogatepass"), "<u4").astype(_U)
-    n = len(codes) - width + 1
-    h = np.zeros(max(n, 0), _U)
-    for k in range(width):
-        h = h * _U(0x100000001B3) + codes[k : k + n] + _U(1)
+    codes += _U(1)
+    n = max(len(codes) - width + 1, 0)
+    h = codes[:n].copy()
+    for k in range(1, width):
+        h *= _U(0x100000001B3)
+        h += codes[k : k + n]
     starts = np.concatenate([[0], np.cumsum(size + width - 1)[:-1]]) if len(lines) else np.zeros(0, np.int64)
     count = np.maximum(size - width + 1, 1)
     offsets = np.concatenate([[0], np.cumsum(count)])
@@ -113,16 +118,18 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray, fuzzy: Fuzzy) -> tuple[n
 
 
 def comparable(line: str) -> str:
+    """What is compared of a line."""
     return " ".join(line.lower().split())
 
 
 def _lines(texts: pa.Array) -> Iterator[tuple[int, int, str]]:
     """(row, line number, comparable line) of the lines with a word."""
     for k, text in enumerate(texts):
-        for j, line in enumerate(text.as_py().split("\n")):
-            line = comparable(line)
-            if line:
-                yield k, j, line
+        if text.is_valid:
+            for j, line in enumerate(text.as_py().lower().split("\n")):
+                words = line.split()
+                if words:
+                    yield k, j, " ".join(words)
 
 
 def _digests(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -169,29 +176,42 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, fuzzy: Fuzzy) -> Da
     return docs.select(F.col(id_col).alias("i"), text_or_empty(text_col).alias("t")).mapInArrow(run, f"_id {kind}, _line int, hi long, lo long, keys array<long>")
 
 
-def _texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(hi, lo, text) of the lines whose lo is in ``wanted``, once each."""
-    near = bit_table(wanted, "lo")
+def _texts(docs: DataFrame, id_col: str, text_col: str, seen: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(lo, text) of the lines whose lo is in ``wanted``, read where each stands first.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(held: list[str]) -> pa.RecordBatch:
-            hi, lo = _digests(held)
-            on = np.flatnonzero(maybe_in(near, lo))
-            return pa.record_batch({"hi": pa.array(hi[on]), "lo": pa.array(lo[on]), "text": pa.array([held[i] for i in on], pa.string())})
+    Bit tables over rows and lines spare reading and shuffling most others; the join decides.
+    """
+    signed = seen.filter(F.size("keys") > 0).join(wanted, "lo", "left_semi")  # of a line's copies one a task at least
+    place = F.struct(F.col("_id").isNull().alias("none"), F.xxhash64("_id").alias("id"), F.col("_line").alias("line"))
+    places = written(signed.groupBy("lo", "hi").agg(F.min(place).alias("p")).select("lo", "hi", F.col("p.id").alias("id"), F.col("p.line").alias("line")), "line-places")
+    near_row, near_line = bit_table(places.select("id").distinct(), "id"), bit_table(places.select("lo"), "lo")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, size = [], 0
-            for _, _, line in _lines(batch.column(0)):
+            ids = batch.column(0).to_numpy()
+            on = pa.array(maybe_in(near_row, ids))
+            batch = batch.filter(on)
+            ids = ids[on.to_numpy(zero_copy_only=False)]
+            held, rows, numbers, size = [], [], [], 0
+
+            def found() -> pa.RecordBatch:
+                hi, lo = _digests(held)  # noqa: B023
+                on = np.flatnonzero(maybe_in(near_line, lo))
+                return pa.record_batch({"id": pa.array(ids[rows][on]), "line": pa.array(np.array(numbers, np.int32)[on]), "hi": pa.array(hi[on]), "lo": pa.array(lo[on]), "text": pa.array([held[i] for i in on], pa.string())})  # noqa: B023
+
+            for k, j, line in _lines(batch.column(1)):
                 held.append(line)
+                rows.append(k)
+                numbers.append(j)
                 size += len(line)
                 if size > 1_000_000:
-                    yield rows(held)
-                    held, size = [], 0
+                    yield found()
+                    held, rows, numbers, size = [], [], [], 0
             if held:
-                yield rows(held)
+                yield found()
 
-    found = docs.select(text_or_empty(text_col).alias("t")).mapInArrow(run, "hi long, lo long, text string")
-    return found.groupBy("hi", "lo").agg(F.min("text").alias("text")).join(wanted, "lo", "left_semi")
+    found = docs.select(F.xxhash64(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, line int, hi long, lo long, text string")
+    return found.join(places, ["id", "line", "hi", "lo"]).select("lo", "text")
 
 
 def _linked(frame_bucket: np.ndarray, texts: list[str], node: np.ndarray, fuzzy: Fuzzy, forest: _Forest) -> Iterator[tuple[int, int]]:
@@ -247,17 +267,16 @@ def _linked(frame_bucket: np.ndarray, texts: list[str], node: np.ndarray, fuzzy:
                 rest = [y for y in rest if y not in joined]
 
 
-def line_links(docs: DataFrame, seen: DataFrame, text_col: str, fuzzy: Fuzzy) -> DataFrame:
+def line_links(docs: DataFrame, seen: DataFrame, id_col: str, text_col: str, fuzzy: Fuzzy) -> DataFrame:
     """Links (a, b) between lo of different lines; ``seen`` is ``occurrences`` as a table."""
     spark = docs.sparkSession
-    keyed = seen.select(F.explode("keys").alias("key"), "lo")
-    same = Window.partitionBy("key")
-    shared = keyed.withColumns({"x": F.min("lo").over(same), "y": F.max("lo").over(same)}).filter("x <> y")
-    members = written(shared.select("key", "lo").distinct(), "line-buckets")
-    alike = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("lo").cast("decimal(20,0)")).alias("s"), F.min("lo").alias("x"))
-    once = written(alike.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", "n"), "line-buckets-once")
+    keyed = seen.select(F.explode("keys").alias("key"), "lo").repartition("key")  # one exchange, read twice
+    shared = keyed.groupBy("key").agg(F.min("lo").alias("x"), F.max("lo").alias("y")).filter("x <> y").select("key")
+    members = written(keyed.join(shared.hint("shuffle_hash"), "key", "left_semi").distinct(), "line-buckets")
+    alike = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("lo")).alias("s"), F.bit_xor(F.xxhash64("lo", F.lit(1))).alias("t"), F.min("lo").alias("x"))
+    once = written(alike.groupBy("n", "s", "t", "x").agg(F.min("key").alias("key")).select("key", "n"), "line-buckets-once")
     chosen = members.join(once, "key")
-    texts = written(_texts(docs, text_col, chosen.select("lo").distinct()), "line-texts")
+    texts = written(_texts(docs, id_col, text_col, seen, chosen.select("lo").distinct()), "line-texts")
     blocks = F.ceil(F.col("n") / fuzzy.bucket_rows).cast("int")
     dealt = chosen.select("lo", "key", blocks.alias("k")).withColumn("own", F.pmod(F.xxhash64("lo"), F.col("k")).cast("int"))
     dealt = dealt.select("lo", "key", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
@@ -298,7 +317,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     seen = written(occurrences(docs, id_col, text_col, fuzzy), "lines")
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_line").alias("line"))
     first = seen.groupBy("hi", "lo").agg(F.min(place).alias("first"))
-    roots = components(line_links(docs, seen, text_col, fuzzy))
+    roots = components(line_links(docs, seen, id_col, text_col, fuzzy))
     labelled = first.join(roots, first["lo"] == roots["node"], "left").select("hi", "lo", "first", F.coalesce("root", "lo").alias("root"), F.col("root").isNotNull().alias("_fuzzy"))
     # Lines without a fuzzy link stand alone by their whole digest; roots of links are among the linked by lo.
     ends = roots.select(F.col("root").alias("lo")).distinct().withColumn("_end", F.lit(True))
