@@ -21,9 +21,10 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar lines one line stays; ``n_chars`` follows the text. No document goes."""
+    """Of each component of similar lines one line stays; ``n_chars`` follows the text. A document goes only when all its
+    lines stand elsewhere."""
     workers_import(spark)
-    return line_dedup.drop_lines(docs, count_col="n_chars")
+    return line_dedup.drop_lines(docs, count_col="n_chars", keep_emptied=False)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

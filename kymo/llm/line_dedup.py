@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import bit_table, maybe_in, plainly_named, text_or_empty, written
+from kymo.llm.common import SPACES, bit_table, maybe_in, plainly_named, text_or_empty, written
 from kymo.llm.components import components
 from kymo.llm.simhash import _Forest
 
@@ -181,7 +181,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, seen: DataFrame, wanted:
 
     Bit tables over rows and lines spare reading and shuffling most others; the join decides.
     """
-    signed = seen.filter(F.size("keys") > 0).join(wanted, "lo", "left_semi")  # of a line's copies one a task at least
+    signed = seen.filter("signed").join(wanted, "lo", "left_semi")  # of a line's copies one a task at least
     place = F.struct(F.col("_id").isNull().alias("none"), F.xxhash64("_id").alias("id"), F.col("_line").alias("line"))
     places = written(signed.groupBy("lo", "hi").agg(F.min(place).alias("p")).select("lo", "hi", F.col("p.id").alias("id"), F.col("p.line").alias("line")), "line-places")
     near_row, near_line = bit_table(places.select("id").distinct(), "id"), bit_table(places.select("lo"), "lo")
@@ -240,39 +240,36 @@ def _linked(frame_bucket: np.ndarray, texts: list[str], node: np.ndarray, fuzzy:
     for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
         if b - a <= 2:
             continue
-        rest, front = list(range(a + 1, b)), [a]
-        while front or rest:
+        rest, front = np.arange(a + 1, b), [a]
+        while len(rest):
             if not front:
-                front, rest = [rest[0]], rest[1:]
+                front, rest = [int(rest[0])], rest[1:]
+                continue
             x = front.pop()
-            if not rest:
-                break
-            own = hashes[first[x] : first[x] + size[x]]
-            root = forest.root(int(node[x]))
-            fits = [y for y in rest if fuzzy.least * max(size[x], size[y]) <= min(size[x], size[y])]
-            joined = {y for y in fits if forest.root(int(node[y])) == root}
-            tested = [y for y in fits if y not in joined]
-            if tested:
-                pick = np.concatenate([np.arange(first[y], first[y] + size[y]) for y in tested])
-                at = np.minimum(np.searchsorted(own, hashes[pick]), len(own) - 1)
-                common = np.add.reduceat(own[at] == hashes[pick], np.concatenate([[0], np.cumsum(size[tested])[:-1]]), dtype=np.int64)
-                union = size[x] + size[tested] - common
-                for y, good in zip(tested, (common >= fuzzy.least * union).tolist(), strict=True):
-                    if good:
-                        joined.add(y)
-                        if forest.join(int(node[x]), int(node[y])):
-                            yield x, y
-            if joined:
-                front.extend(joined)
-                rest = [y for y in rest if y not in joined]
+            own, n_own, n_rest = hashes[first[x] : first[x] + size[x]], size[x], size[rest]
+            fits = np.flatnonzero(fuzzy.least * np.maximum(n_own, n_rest) <= np.minimum(n_own, n_rest))
+            if not len(fits):
+                continue
+            count = n_rest[fits]
+            edge = np.cumsum(count) - count
+            theirs = hashes[np.arange(int(count.sum())) + np.repeat(first[rest[fits]] - edge, count)]
+            at = np.minimum(np.searchsorted(own, theirs), n_own - 1)
+            common = np.add.reduceat(own[at] == theirs, edge, dtype=np.int64)
+            joined = fits[common >= fuzzy.least * (n_own + count - common)]
+            if len(joined):
+                for y in rest[joined].tolist():
+                    if forest.join(int(node[x]), int(node[y])):
+                        yield x, y
+                front.extend(rest[joined].tolist())
+                rest = np.delete(rest, joined)
 
 
 def line_links(docs: DataFrame, seen: DataFrame, id_col: str, text_col: str, fuzzy: Fuzzy) -> DataFrame:
     """Links (a, b) between lo of different lines; ``seen`` is ``occurrences`` as a table."""
     spark = docs.sparkSession
-    keyed = seen.select(F.explode("keys").alias("key"), "lo").repartition("key")  # one exchange, read twice
+    keyed = seen.select(F.explode("keys").alias("key"), "lo").filter("key IS NOT NULL").repartition("key")  # one exchange, read twice
     shared = keyed.groupBy("key").agg(F.min("lo").alias("x"), F.max("lo").alias("y")).filter("x <> y").select("key")
-    members = written(keyed.join(shared.hint("shuffle_hash"), "key", "left_semi").distinct(), "line-buckets")
+    members = written(keyed.join(shared.hint("shuffle_hash"), "key").select("key", "lo").distinct(), "line-buckets")
     alike = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("lo")).alias("s"), F.bit_xor(F.xxhash64("lo", F.lit(1))).alias("t"), F.min("lo").alias("x"))
     once = written(alike.groupBy("n", "s", "t", "x").agg(F.min("key").alias("key")).select("key", "n"), "line-buckets-once")
     chosen = members.join(once, "key")
@@ -314,7 +311,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     Null and empty texts have no lines; an empty table gives an empty result. Rows with a null id come last among equal
     lines; rows that repeat an id share line numbers, so their equal lines share a decision. Only id and text are read.
     """
-    seen = written(occurrences(docs, id_col, text_col, fuzzy), "lines")
+    seen = written(occurrences(docs, id_col, text_col, fuzzy).withColumn("signed", F.size("keys") > 0), "lines")
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_line").alias("line"))
     first = seen.groupBy("hi", "lo").agg(F.min(place).alias("first"))
     roots = components(line_links(docs, seen, id_col, text_col, fuzzy))
@@ -333,10 +330,10 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     )
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fuzzy: Fuzzy = Fuzzy(), count_col: str | None = None) -> DataFrame:
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fuzzy: Fuzzy = Fuzzy(), count_col: str | None = None, keep_emptied: bool = True) -> DataFrame:
     """``docs`` with the lines that stay, in order and as written; all other columns as they are (``count_col``, if named
-    and there, becomes the new text's length). A null text stays null; a text that loses all lines with words becomes
-    what blank lines it has."""
+    and there, becomes the new text's length). A null text stays null. A text that loses all lines with words becomes
+    what blank lines it has, or its row goes unless ``keep_emptied``; rows without words to begin with stay."""
 
     def work(plain: DataFrame, id_col: str, text_col: str, *count: str) -> DataFrame:
         gone = decisions(plain, id_col, text_col, fuzzy).filter(~F.col("kept"))
@@ -344,6 +341,8 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         joined = plain.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")), "left")
         rest = F.filter(F.split(text_col, "\n"), lambda _, k: ~F.array_contains("_gone", k))
         kept = joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n")))
+        if not keep_emptied:
+            kept = kept.filter(F.col("_gone").isNull() | (F.length(F.translate(text_col, SPACES, "")) > 0))
         return kept.withColumns({c: F.length(text_col).cast(plain.schema[c].dataType) for c in count})
 
     return plainly_named(docs, work, id_col, text_col, *([count_col] if count_col in docs.columns else []))

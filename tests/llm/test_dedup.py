@@ -166,5 +166,7 @@ def test_line_edges(spark):
     assert line_dedup.decisions(frame(spark, [(1, None), (2, ""), (3, " \n ")])).count() == 0
     out = line_dedup.drop_lines(frame(spark, [(1, "a line\nb"), (2, "a line")]).withColumn("n_chars", F.lit(7).cast("bigint")), count_col="n_chars")
     assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()) == [(1, "a line\nb", 8), (2, "", 0)]
+    rest = line_dedup.drop_lines(frame(spark, [(1, "a line\nb"), (2, "a line"), (3, ""), (4, None)]), keep_emptied=False)
+    assert sorted(r["doc_id"] for r in rest.collect()) == [1, 3, 4]
     hashes, offsets = line_dedup.shingles(["abcdefgh", "abc", "abcdefghi"], 8)
     assert np.diff(offsets).tolist() == [1, 1, 2] and hashes[0] == hashes[2]
