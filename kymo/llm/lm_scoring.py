@@ -22,6 +22,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +87,8 @@ class Vocabulary:
         """(units with the END, ids of known words with the END, words that aren't broadcast)."""
         words = words_of(text)
         get = self.index.get
-        ids = np.array([get(w, -1) for w in words] + [0], np.int64)
+        ids = np.zeros(len(words) + 1, np.int64)  # the END has id 0
+        ids[:-1] = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(ids < 0)
         units = self.unit[ids]
         if not len(missing):
@@ -227,27 +229,36 @@ class Network:
         h = self.s.hidden
         _, before, gates, new, inner = kept
         w, b = seen.shape
-        da, dn_all = np.empty((3 * h, w, b), np.float32), np.empty((h, w, b), np.float32)
+        z, r = gates[:, :h], gates[:, h:]
+        to_new = (1 - z) * (1 - new * new)  # slopes of each step's state, for all steps at once
+        to_z = (before - new) * z * (1 - z)
+        to_r = inner * r * (1 - r)
+        dx, dn_r = np.empty((w, 3 * h, b), np.float32), np.empty((w, h, b), np.float32)
         d = np.zeros((h, b), np.float32)
         ut = np.ascontiguousarray(self.p["u"].T)
+        gates_t, new_t = np.ascontiguousarray(ut[:, : 2 * h]), np.ascontiguousarray(ut[:, 2 * h :])
+        slope = np.ascontiguousarray(slope.transpose(1, 0, 2))
+        begins = start.any(axis=1)
         for t in range(w - 1, -1, -1):
-            d = d + slope[:, t]
-            z, r, n = gates[t, :h], gates[t, h:], new[t]
-            dn = d * (1 - z)
-            dn *= 1 - n * n
-            da[2 * h :, t] = dn * r
-            dn_all[:, t] = dn
-            da[:h, t] = d * (before[t] - n) * z * (1 - z)
-            da[h : 2 * h, t] = dn * inner[t] * r * (1 - r)
-            d = d * z + ut @ da[:, t]
-            if start[t].any():
-                d = d * ~start[t]
-        grads["u"] += da.reshape(3 * h, -1) @ before.transpose(1, 0, 2).reshape(h, -1).T
+            d += slope[t]
+            own = dx[t]
+            np.multiply(d, to_z[t], out=own[:h])
+            dn = np.multiply(d, to_new[t], out=own[2 * h :])
+            np.multiply(dn, to_r[t], out=own[h : 2 * h])
+            np.multiply(dn, r[t], out=dn_r[t])
+            d *= z[t]
+            d += gates_t @ own[: 2 * h]
+            d += new_t @ dn_r[t]
+            if begins[t]:
+                d *= ~start[t]
+        flat = before.transpose(1, 0, 2).reshape(h, -1).T
+        grads["u"][: 2 * h] += dx[:, : 2 * h].transpose(1, 0, 2).reshape(2 * h, -1) @ flat
+        grads["u"][2 * h :] += dn_r.transpose(1, 0, 2).reshape(h, -1) @ flat
         units = seen.ravel()
         order = np.argsort(units.astype(np.int16) if units.max(initial=0) < 32_000 else units, kind="stable")
         units = units[order]
         first = np.flatnonzero(np.concatenate([[True], units[1:] != units[:-1]]))
-        rows = np.concatenate([da[: 2 * h], dn_all]).reshape(3 * h, -1).T
+        rows = dx.transpose(0, 2, 1).reshape(w * b, 3 * h)
         grads["table"][units[first]] += np.add.reduceat(rows[order], first, axis=0)
 
     @np.errstate(over="ignore")
