@@ -194,11 +194,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest, all columns kept.
 
-    Of rows that repeat an id and a text one stays; rows with a null id stay only where their component has no other.
+    Of rows that repeat an id one stays; rows with a null id, which no decision can name, stay. What goes is a table of
+    ids: Spark broadcasts it where its size allows and shuffles the texts only where it doesn't.
     """
 
     def work(plain: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        keep = groups(plain, id_col, text_col, **options).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-        return plain.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates([id_col])
+        found = written(groups(plain, id_col, text_col, **options).filter(F.col(id_col).isNotNull()).select(id_col, "component_id"), "near-copies")
+        gone = written(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "near-copies-gone")
+        kept = plain.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+        if found.groupBy(id_col).count().filter("count > 1").isEmpty():
+            return kept
+        return kept.filter(F.col(id_col).isNull()).unionByName(kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
 
     return plainly_named(docs, work, id_col, text_col)
