@@ -338,7 +338,8 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def work(plain: DataFrame, id_col: str, text_col: str, *count: str) -> DataFrame:
         gone = decisions(plain, id_col, text_col, fuzzy).filter(~F.col("kept"))
         gone = written(gone.groupBy(F.col(id_col).alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone")), "dropped-lines")
-        joined = plain.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")), "left")
+        # What goes grows with the corpus: the join is shuffled at every size instead of changing its plan with it.
+        joined = plain.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("_gone_id")), "left")
         rest = F.filter(F.split(text_col, "\n"), lambda _, k: ~F.array_contains("_gone", k))
         kept = joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n")))
         if not keep_emptied:
