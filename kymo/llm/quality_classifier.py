@@ -132,6 +132,12 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
+def _moments(texts: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of each statistic."""
+    statistics = np.concatenate([features(texts[a : a + 500], buckets)[3] for a in range(0, len(texts), 500)])
+    return statistics.mean(0), statistics.std(0) + 1e-6
+
+
 def fit(texts: list[bytes], labels: np.ndarray, settings: Settings = Settings()) -> Machine:
     """Adagrad on the logistic loss. Without rows of both labels only the smoothed base rate is learnt."""
     rng = np.random.default_rng(settings.seed)
@@ -144,12 +150,13 @@ def fit(texts: list[bytes], labels: np.ndarray, settings: Settings = Settings())
     # No labelled row need be empty; a hundredth of empty texts teaches that they are no good ones.
     empty = len(texts) // 100 + 1
     texts, labels = [*texts, *[b""] * empty], np.concatenate([labels, np.zeros(empty)])
-    parts = [features(texts[a : a + 500], settings.buckets)[3] for a in range(0, len(texts), 500)]
-    statistics = np.concatenate(parts)
-    model.mean, model.scale = statistics.mean(0), statistics.std(0) + 1e-6
-    found = [model.rows(texts[a : a + 500]) for a in range(0, len(texts), 500)]
-    row = np.concatenate([r + 500 * k for k, (r, _, _) in enumerate(found)])
-    feature, value = (np.concatenate([f[j] for f in found]) for j in (1, 2))
+    model.mean, model.scale = _moments(texts, settings.buckets)
+    found = []
+    for a in range(0, len(texts), 500):  # in narrow types: the driver holds features of all fitted rows
+        row, feature, value = model.rows(texts[a : a + 500])
+        found.append(((row + a).astype(np.int32), feature.astype(np.int32), value))
+    row, feature, value = (np.concatenate([f[j] for f in found]) for j in range(3))
+    del found
     start = np.searchsorted(row, np.arange(len(texts) + 1))
     good = labels.mean()
     weight = np.where(labels > 0.5, 0.5 / good, 0.5 / (1 - good))  # both labels weigh alike
@@ -191,7 +198,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).join(F.broadcast(chosen), "_id").toArrow()
     order = np.argsort([hash_of.as_py() for hash_of in rows["_id"]], kind="stable") if len(rows) else []
     texts = [rows["_text"][int(k)].as_py().encode("utf-8", "surrogatepass") for k in order]
-    return fit(texts, rows["_label"].to_numpy().astype(float)[order] if len(rows) else np.zeros(0), settings)
+    marks = rows["_label"].to_numpy().astype(float)[order] if len(rows) else np.zeros(0)
+    del rows
+    return fit(texts, marks, settings)
 
 
 @lru_cache(maxsize=2)
