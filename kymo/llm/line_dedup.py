@@ -19,7 +19,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kymo.llm.common import SPACES, bit_table, maybe_in, plainly_named, text_or_empty, written
@@ -138,7 +138,8 @@ def _digests(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, fuzzy: Fuzzy) -> DataFrame:
-    """Every line with a word: id, line, hi and lo (its digest), keys (its band keys)."""
+    """Every line with a word: id, row (a number of its own for each row of ``docs``), same (a hash of the row's text),
+    line, hi and lo (its digest), keys (its band keys)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +161,8 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, fuzzy: Fuzzy) -> Da
                 order = np.argsort(line, kind="stable")
                 ends = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(held)))])  # noqa: B023
                 keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[order].view(np.int64)))
-                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(hi), pa.array(lo), keys], names=["i", "line", "hi", "lo", "keys"])  # noqa: B023
+                own = [batch.column(c).take(pa.array(rows, pa.int64())) for c in (0, 2, 3)]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*own, pa.array(numbers, pa.int32()), pa.array(hi), pa.array(lo), keys], names=["i", "row", "same", "line", "hi", "lo", "keys"])  # noqa: B023
 
             for k, j, line in _lines(batch.column(1)):
                 rows.append(k)
@@ -173,7 +175,8 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, fuzzy: Fuzzy) -> Da
             if held:
                 yield flush()
 
-    return docs.select(F.col(id_col).alias("i"), text_or_empty(text_col).alias("t")).mapInArrow(run, f"_id {kind}, _line int, hi long, lo long, keys array<long>")
+    read = docs.select(F.col(id_col).alias("i"), text_or_empty(text_col).alias("t"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text_col).alias("same"))
+    return read.mapInArrow(run, f"_id {kind}, _row long, _same long, _line int, hi long, lo long, keys array<long>")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, seen: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -305,14 +308,10 @@ def line_links(docs: DataFrame, seen: DataFrame, id_col: str, text_col: str, fuz
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fuzzy: Fuzzy = Fuzzy()) -> DataFrame:
-    """One row per line with a word: id, line_no (from 0), keep_id, keep_line_no, kept.
-
-    Null and empty texts have no lines; an empty table gives an empty result. Rows with a null id come last among equal
-    lines; rows that repeat an id share line numbers, so their equal lines share a decision. Only id and text are read.
-    """
+def _decided(docs: DataFrame, id_col: str, text_col: str, fuzzy: Fuzzy) -> tuple[DataFrame, DataFrame]:
+    """``occurrences`` as a table, and of each line _id, _row, _same, _line, keep (where the line that stays stands) and kept."""
     seen = written(occurrences(docs, id_col, text_col, fuzzy).withColumn("signed", F.size("keys") > 0), "lines")
-    place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_line").alias("line"))
+    place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_line").alias("line"), F.col("_row").alias("row"))
     first = seen.groupBy("hi", "lo").agg(F.min(place).alias("first"))
     roots = components(line_links(docs, seen, id_col, text_col, fuzzy))
     labelled = first.join(roots, first["lo"] == roots["node"], "left").select("hi", "lo", "first", F.coalesce("root", "lo").alias("root"), F.col("root").isNotNull().alias("_fuzzy"))
@@ -321,29 +320,53 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     labelled = labelled.join(ends, "lo", "left").withColumn("group", F.when(F.col("_fuzzy") | F.col("_end"), F.lit(0)).otherwise(F.col("hi")))
     kept = written(labelled.groupBy("root", "group").agg(F.min("first").alias("keep")), "line-components")
     named = written(labelled.select("hi", "lo", "root", "group").join(kept, ["root", "group"]).select("hi", "lo", "keep"), "line-names")
-    return seen.select("hi", "lo", "_id", "_line").join(named, ["hi", "lo"]).select(
-        F.col("_id").alias(id_col),
-        F.col("_line").alias("line_no"),
-        F.col("keep")["id"].alias("keep_id"),
-        F.col("keep")["line"].alias("keep_line_no"),
-        (F.col("_id").eqNullSafe(F.col("keep")["id"]) & (F.col("_line") == F.col("keep")["line"])).alias("kept"),
-    )
+    stays = (F.col("_row") == F.col("keep")["row"]) & (F.col("_line") == F.col("keep")["line"])
+    return seen, seen.select("hi", "lo", "_id", "_row", "_same", "_line").join(named, ["hi", "lo"]).select("_id", "_row", "_same", "_line", "keep", stays.alias("kept"))
+
+
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fuzzy: Fuzzy = Fuzzy()) -> DataFrame:
+    """One row per line with a word: id, line_no (from 0), keep_id, keep_line_no, kept.
+
+    Null and empty texts have no lines; an empty table gives an empty result. Rows with a null id come last among equal
+    lines. Rows that share an id, or have none, are told apart: of each component one line of one row is kept. Only id
+    and text are read.
+    """
+    _, decided = _decided(docs, id_col, text_col, fuzzy)
+    return decided.select(F.col("_id").alias(id_col), F.col("_line").alias("line_no"), F.col("keep")["id"].alias("keep_id"), F.col("keep")["line"].alias("keep_line_no"), "kept")
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fuzzy: Fuzzy = Fuzzy(), count_col: str | None = None, keep_emptied: bool = True) -> DataFrame:
     """``docs`` with the lines that stay, in order and as written; all other columns as they are (``count_col``, if named
     and there, becomes the new text's length). A null text stays null. A text that loses all lines with words becomes
-    what blank lines it has, or its row goes unless ``keep_emptied``; rows without words to begin with stay."""
+    what blank lines it has, or its row goes unless ``keep_emptied``; rows without words to begin with stay. A line goes
+    only from the row it was judged in; of rows equal in id and text one has the lines that stay."""
 
     def work(plain: DataFrame, id_col: str, text_col: str, *count: str) -> DataFrame:
-        gone = decisions(plain, id_col, text_col, fuzzy).filter(~F.col("kept"))
-        gone = written(gone.groupBy(F.col(id_col).alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone")), "dropped-lines")
+        seen, decided = _decided(plain, id_col, text_col, fuzzy)
+        worded = lambda line: F.length(F.translate(line, SPACES, "")) > 0
+        # Rows are found again by id and text. Where several are equal in both, the first holds all that stays of them.
+        copies = seen.select("_id", "_same", "_row").distinct().groupBy("_id", "_same").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("n"))
+        copies = written(copies.filter("n > 1").select(F.col("_id").alias("_copy_id"), F.col("_same").alias("_copy_same"), "_first"), "row-copies")
+        repeats = not copies.isEmpty()
+        gone = decided.filter(~F.col("kept"))
+        if repeats:
+            on_copy = F.col("_id").eqNullSafe(F.col("_copy_id")) & (F.col("_same") == F.col("_copy_same"))
+            gone = gone.join(copies, on_copy, "left").filter(F.col("_first").isNull() | (F.col("_row") == F.col("_first")))
+        gone = written(gone.groupBy(F.col("_id").alias("_gone_id"), F.col("_same").alias("_gone_same")).agg(F.collect_set("_line").alias("_gone")), "dropped-lines")
         # What goes grows with the corpus: the join is shuffled at every size instead of changing its plan with it.
-        joined = plain.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("_gone_id")), "left")
+        hashed = plain.withColumn("_same", F.xxhash64(text_col))
+        joined = hashed.join(gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("_gone_id")) & (F.col("_same") == F.col("_gone_same")), "left")
+        if repeats:
+            on_copy = F.col(id_col).eqNullSafe(F.col("_copy_id")) & (F.col("_same") == F.col("_copy_same"))
+            again = joined.join(copies, on_copy, "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy(id_col, "_same").orderBy("_same")))
+            lines = F.split(text_col, "\n")
+            all_of = F.filter(F.transform(lines, lambda x, k: F.when(worded(x), k)), lambda k: k.isNotNull())
+            again = again.withColumn("_gone", F.when(F.col("_n") > 1, all_of).otherwise(F.col("_gone"))).drop("_n")
+            joined = joined.join(copies, on_copy, "left_anti").unionByName(again)
         rest = F.filter(F.split(text_col, "\n"), lambda _, k: ~F.array_contains("_gone", k))
         kept = joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n")))
         if not keep_emptied:
-            kept = kept.filter(F.col("_gone").isNull() | (F.length(F.translate(text_col, SPACES, "")) > 0))
+            kept = kept.filter(F.col("_gone").isNull() | worded(F.col(text_col)))
         return kept.withColumns({c: F.length(text_col).cast(plain.schema[c].dataType) for c in count})
 
     return plainly_named(docs, work, id_col, text_col, *([count_col] if count_col in docs.columns else []))

@@ -170,3 +170,16 @@ def test_line_edges(spark):
     assert sorted(r["doc_id"] for r in rest.collect()) == [1, 3, 4]
     hashes, offsets = line_dedup.shingles(["abcdefgh", "abc", "abcdefghi"], 8)
     assert np.diff(offsets).tolist() == [1, 1, 2] and hashes[0] == hashes[2]
+
+
+def test_lines_go_only_from_the_row_they_were_judged_in(spark):
+    """Rows without an id, rows that share one, and rows equal in id and text."""
+    a, b, c, d = (" ".join(words(70 + k, 14)) for k in range(4))
+    rows = [(1, a), (None, a + "\n" + b), (None, c), (2, a), (2, d), (None, c + "\nown line of it"), (3, "twice here\n \n" + a), (3, "twice here\n \n" + a)]
+    for keep_emptied, emptied in ((True, [(2, ""), (3, " ")]), (False, [])):
+        got = [(r["doc_id"], r["text"]) for r in line_dedup.drop_lines(frame(spark, rows), keep_emptied=keep_emptied).collect()]
+        no_id = sorted(t for i, t in got if i is None and t)
+        assert no_id in (sorted([b, c, "own line of it"]), sorted([b, c + "\nown line of it"]))  # either row may come first
+        assert sorted(x for x in got if x[0] is not None) == sorted([(1, a), (2, d), (3, "twice here\n "), *emptied])
+    kept = [r for r in line_dedup.decisions(frame(spark, rows)).collect() if r["kept"]]
+    assert len(kept) == 6
