@@ -8,7 +8,8 @@ links. Buckets over ``bucket_rows`` lines are dealt into blocks whose pairs go t
 Of each component the line that comes first by (id, line number) stays.
 
 Signatures: short lines take ``bands * rows`` hash functions; long ones one hash whose minima are kept per bin (empty
-bins borrow from the next). Lines between the two lengths get both kinds, so similar lines always share one.
+bins borrow from the next). Length is the number of different shingles. Lines between the two lengths get both kinds, so
+similar lines always share one.
 """
 
 from __future__ import annotations
@@ -70,9 +71,24 @@ def shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     return mixed(h[at]), offsets
 
 
+def different(hashes: np.ndarray, offsets: np.ndarray, least: int) -> np.ndarray:
+    """Each line's number of different shingles; lines with fewer than ``least`` keep their number with repeats."""
+    count = np.diff(offsets)
+    many = np.flatnonzero(count >= least)
+    for a in range(0, len(many), 1 << 14):
+        own = many[a : a + (1 << 14)]
+        n = count[own]
+        row = np.repeat(np.arange(len(own)), n)
+        at = np.arange(len(row)) + np.repeat(offsets[own] - (np.cumsum(n) - n), n)
+        key = np.sort(row.astype(_U) << _U(50) | hashes[at] >> _U(14))
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        count[own] = np.bincount((key[new] >> _U(50)).astype(np.int64), minlength=len(own))
+    return count
+
+
 def signatures(hashes: np.ndarray, offsets: np.ndarray, fuzzy: Fuzzy) -> tuple[np.ndarray, np.ndarray]:
     """(line, band key) pairs."""
-    count = np.diff(offsets)
+    count, kinds = np.diff(offsets), different(hashes, offsets, fuzzy.long)
     k = fuzzy.bands * fuzzy.rows
     out_line, out_key = [], []
 
@@ -88,7 +104,7 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray, fuzzy: Fuzzy) -> tuple[n
         ends = np.cumsum(n)
         return np.arange(ends[-1]) + np.repeat(offsets[line] - (ends - n), n), ends - n
 
-    short = np.flatnonzero(count <= fuzzy.short)
+    short = np.flatnonzero(kinds <= fuzzy.short)
     if len(short):
         at, first = of(short)
         own = hashes[at]
@@ -97,7 +113,7 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray, fuzzy: Fuzzy) -> tuple[n
         for j, (a, b) in enumerate(rng.integers(1, 1 << 63, (k, 2), dtype=np.int64).astype(_U)):
             sig[:, j] = np.minimum.reduceat((own * (a | _U(1)) + b) >> _U(16), first)
         banded(short, sig, 0)
-    long = np.flatnonzero(count >= fuzzy.long)
+    long = np.flatnonzero(kinds >= fuzzy.long)
     if len(long):
         at, _ = of(long)
         own = hashes[at]

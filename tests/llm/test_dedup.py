@@ -183,3 +183,16 @@ def test_lines_go_only_from_the_row_they_were_judged_in(spark):
         assert sorted(x for x in got if x[0] is not None) == sorted([(1, a), (2, d), (3, "twice here\n "), *emptied])
     kept = [r for r in line_dedup.decisions(frame(spark, rows)).collect() if r["kept"]]
     assert len(kept) == 6
+
+
+def test_repetitive_lines_share_a_kind_of_signature(spark):
+    """The kind goes by the different shingles, so lines of equal shingle sets meet whatever their lengths."""
+    pairs = [("=" * 60, "=" * 200), ("ating. " * 10, "ating. " * 150)]
+    for a, b in pairs:
+        line, key = line_dedup.signatures(*line_dedup.shingles([a, b], 8), line_dedup.Fuzzy())
+        assert set(key[line == 0]) & set(key[line == 1])
+    rows = [(10 * k + j, x) for k, pair in enumerate(pairs) for j, x in enumerate(pair)]
+    got = {r["doc_id"]: r["keep_id"] for r in line_dedup.decisions(frame(spark, rows)).collect()}
+    assert got == {0: 0, 1: 0, 10: 10, 11: 10}
+    hashes, offsets = line_dedup.shingles(["=" * 300, " ".join(words(1, 40)), "ab" * 80, "x"], 8)
+    assert line_dedup.different(hashes, offsets, 2).tolist() == [len(set(hashes[a:b].tolist())) for a, b in zip(offsets, offsets[1:])]
