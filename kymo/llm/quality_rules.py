@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import string
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +23,12 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """A document fails when ``metric`` is under ``least`` or over ``most``."""
+    """A document of ``words`` words or more fails when ``metric`` is under ``least`` or over ``most``."""
 
     metric: str
     least: float | None = None
     most: float | None = None
+    words: int = 0
 
 
 #: The method's table. Ratios are per word or per line as their names say.
@@ -42,6 +44,10 @@ RULES = (
     Rule("bullet_line_ratio", most=0.9),
 )
 
+#: The table for filtering: no text is too long, and a share of stop words is asked of 50 words or more (1 / 0.02), where
+#: it means one at least; stop words count with ASCII punctuation at their ends.
+FILTER_RULES = (Rule("n_words", least=10), *(replace(r, metric="bare_stop_word_ratio", words=50) if r.metric == "stop_word_ratio" else r for r in RULES if r.metric != "n_words"))
+
 
 def _windows(words: Column, n: Column, width: int) -> Column:
     at = lambda i, k: F.get(words, i + k)
@@ -63,9 +69,10 @@ def _repeat_words(words: Column, hashes: Column, width: int) -> Column:
     return bound(order, lambda o: bound(repeated(o), covered))
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 5) -> DataFrame:
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 5, bare: bool = False) -> DataFrame:
     """Counts per row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long) and the method's ratios.
 
+    ``bare`` adds n_bare_stop_words, which are found without ASCII punctuation at their ends, and bare_stop_word_ratio.
     Null text has no words. Ratios over no words or no lines are 0. Rows are neither dropped nor joined: repeated rows
     and null ids stay as they are, an empty table gives an empty result, and no other column is read.
     """
@@ -79,6 +86,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     step = step.select("*", F.size("_words").alias("_n"), F.size("_lines").alias("_n_lines"))
     step = step.select("*", _windows(F.col("_words"), F.col("_n"), window).alias("_hashes"))
     either = sorted({form for w in STOP_WORDS for form in (w, w.capitalize())})
+    extra = [F.size(F.filter("_words", lambda w: F.btrim(w, F.lit(string.punctuation)).isin(either))).cast("bigint").alias("n_bare_stop_words")] if bare else []
     counts = F.struct(
         F.col("_n").cast("bigint").alias("n_words"),
         F.length(F.translate("_text", SPACES, "")).cast("bigint").alias("word_chars"),
@@ -90,6 +98,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         F.col("_n_lines").cast("bigint").alias("n_lines"),
         F.size(F.filter("_lines", lambda x: x.endswith("...") | x.endswith("…"))).cast("bigint").alias("n_ellipsis_lines"),
         F.size(F.filter("_lines", lambda x: x.startswith("- ") | x.startswith("* ") | x.startswith("•"))).cast("bigint").alias("n_bullet_lines"),
+        *extra,
     )
     # One row each: filters on the counts stay above this generator, so that no count is worked out twice.
     step = step.select(F.col("_id").alias(id_col), F.inline(F.array(counts)))
@@ -104,6 +113,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         share("n_repeat_words", "n_words").alias("repeat_word_ratio"),
         share("n_ellipsis_lines", "n_lines").alias("ellipsis_line_ratio"),
         share("n_bullet_lines", "n_lines").alias("bullet_line_ratio"),
+        *([share("n_bare_stop_words", "n_words").alias("bare_stop_word_ratio")] if bare else []),
     )
 
 
@@ -111,21 +121,23 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
     """The names of the metrics that fail, as one column."""
     tests = []
     for r in rules:
+        asked = F.col("n_words") >= r.words if r.words else F.lit(True)
         if r.least is not None:
-            tests.append(F.when(F.col(r.metric) < r.least, F.lit(f"{r.metric}<{r.least:g}")))
+            tests.append(F.when(asked & (F.col(r.metric) < r.least), F.lit(f"{r.metric}<{r.least:g}")))
         if r.most is not None:
-            tests.append(F.when(F.col(r.metric) > r.most, F.lit(f"{r.metric}>{r.most:g}")))
+            tests.append(F.when(asked & (F.col(r.metric) > r.most), F.lit(f"{r.metric}>{r.most:g}")))
     return F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``measured`` with base_failed, failed_rules and kept. A document without words fails."""
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    step = measured(docs, id_col, text_col).select("*", base.alias("base_failed"), compiled(rules).alias("failed_rules"))
+    bare = any(r.metric == "bare_stop_word_ratio" for r in rules)
+    step = measured(docs, id_col, text_col, bare=bare).select("*", base.alias("base_failed"), compiled(rules).alias("failed_rules"))
     return step.select("*", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = FILTER_RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with its columns; the judgement is computed beside each row, without a join."""
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_kymo_row"), F.col(f"`{text_col}`").alias("_kymo_text"))
     good = judged(packed, "_kymo_row", "_kymo_text", rules).filter("kept")

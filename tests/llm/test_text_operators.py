@@ -173,6 +173,17 @@ def test_quality_rules(spark):
     assert quality_rules.keep_good(docs(spark, [clean])).count() == 1
 
 
+def test_filter_keeps_clean_texts_of_any_length(spark):
+    short = "Der Ofen brannte hell, während draußen Schnee fiel; niemand sprach laut."
+    marked = " ".join(f"word{k} other{k}" for k in range(40)) + " the. (of) and,"
+    none = " ".join(f"word{k} other{k}" for k in range(40))
+    junk = " ".join(f"w{k}$$$" for k in range(30))
+    texts = [short, marked, none, junk]
+    assert sorted(r["doc_id"] for r in quality_rules.keep_good(docs(spark, texts)).collect()) == [0, 1]
+    counts = spark.createDataFrame([(2_000_000, 5.0, 0.0, 0.4, 0.0, 0.0, 0.0, 0.0, 0.0)], "n_words long, mean_word_chars double, symbols_per_word double, bare_stop_word_ratio double, shouting_word_ratio double, dup_line_ratio double, repeat_word_ratio double, ellipsis_line_ratio double, bullet_line_ratio double")
+    assert counts.select(quality_rules.compiled(quality_rules.FILTER_RULES).alias("f")).first()["f"] == []
+
+
 def labelled(n=400):
     rng = random.Random(11)
     texts, labels = [], []
