@@ -48,16 +48,19 @@ def fingerprint(text: str, width: int = 4, seed: int = 42) -> bytes:
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id, fp long). Null text has no words. Every row gives one row; other columns aren't read."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, same: bool = False) -> DataFrame:
+    """(id, fp long), with ``same`` also _same, a hash of the text. Null text has no words. Every row gives one row; other
+    columns aren't read."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = b"".join(fingerprint(t.as_py(), width) for t in batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(fp, ">i8").astype(np.int64))], names=["i", "fp"])
+            own = [batch.column(0), pa.array(np.frombuffer(fp, ">i8").astype(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(own, names=["i", "fp", "same"][: len(own)])
 
-    return docs.select(F.col(id_col).alias("i"), text_or_empty(text_col).alias("t")).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    more = [F.xxhash64(text_col).alias("same")] if same else []
+    return docs.select(F.col(id_col).alias("i"), text_or_empty(text_col).alias("t"), *more).mapInArrow(run, f"`{id_col}` {kind}, fp long" + (", _same long" if same else ""))
 
 
 def unary(fp: Column) -> Column:
@@ -191,19 +194,27 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, all columns kept.
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4, spare: int = 2) -> DataFrame:
+    """One row of each component of ``docs``, the one with the smallest id, all columns kept.
 
-    Of rows that repeat an id one stays; rows with a null id, which no decision can name, stay. What goes is a table of
-    ids: Spark broadcasts it where its size allows and shuffles the texts only where it doesn't.
+    Rows are judged by id and text: of rows that share an id, those go whose text is a near copy of one that stays. Rows
+    with a null id stay. What goes is a table of ids and text hashes: Spark broadcasts it where its size allows and
+    shuffles the texts only where it doesn't.
     """
 
     def work(plain: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        found = written(groups(plain, id_col, text_col, **options).filter(F.col(id_col).isNotNull()).select(id_col, "component_id"), "near-copies")
-        gone = written(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "near-copies-gone")
-        kept = plain.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-        if found.groupBy(id_col).count().filter("count > 1").isEmpty():
+        prints = written(fingerprints(plain, id_col, text_col, width, same=True), "fingerprints")
+        own = written(prints.groupBy("fp").agg(F.min(F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), "_same"))).alias("_least")), "distinct-fingerprints")
+        roots = components(links(own.select("fp"), limit, spare))
+        labelled = own.join(roots, own["fp"] == roots["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("_root"))
+        least = labelled.groupBy("_root").agg(F.min("_least").alias("_first"))
+        named = written(labelled.join(least, "_root").select("fp", "_first"), "fingerprint-components")
+        found = written(prints.filter(F.col(id_col).isNotNull()).join(named, "fp").select(id_col, "_same", "_first"), "near-copies")
+        stays = (F.col(id_col) == F.col("_first")["id"]) & (F.col("_same") == F.col("_first")["_same"])
+        gone = written(found.filter(~stays).select(F.col(id_col).alias("_gone"), F.col("_same").alias("_gone_same")).distinct(), "near-copies-gone")
+        kept = plain.withColumn("_same", F.xxhash64(text_col)).join(gone, (F.col(id_col) == F.col("_gone")) & (F.col("_same") == F.col("_gone_same")), "left_anti")
+        if found.groupBy(id_col, "_same").count().filter("count > 1").isEmpty():
             return kept
-        return kept.filter(F.col(id_col).isNull()).unionByName(kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+        return kept.filter(F.col(id_col).isNull()).unionByName(kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, "_same"]))
 
     return plainly_named(docs, work, id_col, text_col)

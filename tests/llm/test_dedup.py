@@ -196,3 +196,12 @@ def test_repetitive_lines_share_a_kind_of_signature(spark):
     assert got == {0: 0, 1: 0, 10: 10, 11: 10}
     hashes, offsets = line_dedup.shingles(["=" * 300, " ".join(words(1, 40)), "ab" * 80, "x"], 8)
     assert line_dedup.different(hashes, offsets, 2).tolist() == [len(set(hashes[a:b].tolist())) for a, b in zip(offsets, offsets[1:])]
+
+
+def test_near_copies_are_judged_by_id_and_text(spark):
+    a, b, c, d = (" ".join(words(90 + k, 60)) for k in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (4, b), (5, c + " "), (3, d), (None, a), (None, d)]
+    got = [(r["doc_id"], r["text"]) for r in simhash.drop_near_copies(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (3, c), (3, d), (None, a), (None, d)], key=str)
+    got = [(r["doc_id"], r["text"]) for r in simhash.drop_near_copies(frame(spark, [(1, a), (1, a + " "), (2, None), (2, "")])).collect()]
+    assert [i for i, _ in sorted(got, key=str)] == [1, 2]
