@@ -3,6 +3,8 @@
 All rolling k-grams of words of every text are hashed and joined in Spark to their places in the templates. A hit at word
 ``p`` of a text and ``q`` of a template votes for the diagonal ``p - q``. Votes are counted by text, template and
 diagonal; diagonals up to ``gap`` apart (words put in or left out) are merged, and those with enough votes name a span.
+How many are enough follows from the share of words that the alignment asks for: no span is lost to changed words. Words
+put in break grams too but cost no share, so a span with many of them may still have too few votes.
 The span's words are then aligned with the template's to verify it.
 """
 
@@ -106,16 +108,29 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _sizes(templates: tuple[Template, ...], k: int) -> list[int]:
-    return [min(k, len(words_of(t.text))) for t in templates]
+def _needed(template: Template, k: int, least: float) -> tuple[int, int]:
+    """Words a gram, and grams that a span has at least: of a phrase all, of other templates what changing as many words as
+    ``least`` allows leaves. Grams are as much smaller than k as it takes for one to be left."""
+    n = len(words_of(template.text))
+    if template.exact:
+        return min(k, n), max(1, n - k + 1)
+    changed = max(x for x in range(n + 1) if n - x >= least * n)
+    for size in range(min(k, n), 0, -1):
+        if (left := n - size + 1 - changed * size) >= 1:
+            return size, left
+    return 1, 1
+
+
+def _sizes(templates: tuple[Template, ...], k: int, least: float) -> list[int]:
+    return [_needed(t, k, least)[0] for t in templates]
 
 
-def template_places(spark: SparkSession, templates: tuple[Template, ...], k: int) -> DataFrame:
+def template_places(spark: SparkSession, templates: tuple[Template, ...], k: int, least: float) -> DataFrame:
     """(gram, template, place): a few hundred rows, whatever the input. A template under k words is one gram."""
     rows = []
     for number, t in enumerate(templates):
         hashes, _ = word_hashes([b" ".join(words_of(t.text))])
-        rows += [(int(g), number, place) for place, g in enumerate(grams(hashes, _sizes(templates, k)[number]).view(np.int64))]
+        rows += [(int(g), number, place) for place, g in enumerate(grams(hashes, _sizes(templates, k, least)[number]).view(np.int64))]
     return spark.createDataFrame(rows, "gram long, template int, place int")
 
 
@@ -124,10 +139,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("i"), F.xxhash64(text_or_empty(text_col)).alias("h"), text_or_empty(text_col).alias("t"))
 
 
-def hits(docs: DataFrame, id_col: str, text_col: str, templates: tuple[Template, ...], k: int) -> DataFrame:
+def hits(docs: DataFrame, id_col: str, text_col: str, templates: tuple[Template, ...], k: int, least: float) -> DataFrame:
     """(i, h, template, place, at): every k-gram of every text that stands in a template."""
     kind = docs.schema[id_col].dataType.simpleString()
-    sizes = sorted(set(_sizes(templates, k)))
+    sizes = sorted(set(_sizes(templates, k, least)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,16 +173,16 @@ def hits(docs: DataFrame, id_col: str, text_col: str, templates: tuple[Template,
                 yield from rows(first, held)
 
     found = _keyed(docs, id_col, text_col).mapInArrow(run, f"i {kind}, h long, at int, gram long")
-    return found.join(F.broadcast(template_places(docs.sparkSession, templates, k)), "gram")
+    return found.join(F.broadcast(template_places(docs.sparkSession, templates, k, least)), "gram")
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str, templates: tuple[Template, ...], k: int, gap: int, votes: float) -> DataFrame:
-    """(i, h, template, low, high): merged diagonals with at least the share ``votes`` of a template's k-grams."""
+def candidates(docs: DataFrame, id_col: str, text_col: str, templates: tuple[Template, ...], k: int, gap: int, least: float) -> DataFrame:
+    """(i, h, template, low, high): merged diagonals with the grams that a span of the share ``least`` of a template's words has."""
     spark = docs.sparkSession
-    needed = [(n, t.exact, max(1, round(votes * (len(words_of(t.text)) - size + 1)))) for n, (t, size) in enumerate(zip(templates, _sizes(templates, k), strict=True))]
+    needed = [(n, t.exact, _needed(t, k, least)[1]) for n, t in enumerate(templates)]
     needed = F.broadcast(spark.createDataFrame(needed, "template int, exact boolean, needed int"))
     by_diagonal = (
-        hits(docs, id_col, text_col, templates, k)
+        hits(docs, id_col, text_col, templates, k, least)
         .groupBy("i", "h", "template", (F.col("at") - F.col("place")).alias("d"))
         .agg(F.collect_set("place").alias("places"))
         .select("i", "h", "template", "d", F.size("places").alias("n"))
@@ -204,13 +219,13 @@ def verified(words: list[bytes], template: Template, number: int, low: int, high
     return {"label": template.label, "template": number, "exact": False, "start": a + full[0].b, "end": a + full[-1].b + full[-1].size, "coverage": same / len(want)}
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, k: int = 3, gap: int = 3, votes: float = 0.5, least: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, k: int = 3, gap: int = 3, least: float = 0.8) -> DataFrame:
     """One row per row of ``docs``: id, n_words and spans (label, template, exact, start, end, coverage), by start.
 
     Null and empty texts have no words and no spans. Rows with a null id and rows that repeat an id are told apart by
     their text; rows that repeat both have the same spans. An empty table gives an empty result; no other column is read.
     """
-    found = written(candidates(docs, id_col, text_col, templates, k, gap, votes), "license-candidates")
+    found = written(candidates(docs, id_col, text_col, templates, k, gap, least), "license-candidates")
     near = bit_table(found.select("h").distinct(), "h")
     kind = docs.schema[id_col].dataType.simpleString()
 

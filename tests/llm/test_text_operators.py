@@ -145,6 +145,23 @@ def test_license_scan(spark):
     assert license_scan.scan(docs(spark, ["all rights reserved", "cc by"], [None, None])).filter("size(spans) = 1").count() == 2
 
 
+def test_license_scan_finds_every_span_that_verifies(spark):
+    """Texts with as many changed words as the alignment accepts, wherever they stand."""
+    texts, want = ["x y released under this mit license z"], []
+    for t in license_scan.TEMPLATES:
+        w = [x.decode() for x in license_scan.words_of(t.text)]
+        changed = max(x for x in range(len(w) + 1) if len(w) - x >= 0.8 * len(w))
+        if not t.exact and changed:
+            for at in (range(2, len(w), 3), range(len(w) // (changed + 1), len(w), max(1, len(w) // (changed + 1)))):
+                own = list(w)
+                for j in list(at)[:changed]:
+                    own[j] = f"q{j}"
+                texts.append(" ".join(own))
+                want.append((len(texts) - 1, t.label))
+    got = {r["doc_id"]: {s["label"] for s in r["spans"]} for r in license_scan.scan(docs(spark, texts)).collect()}
+    assert all(label in got[k] for k, label in want) and any("mit" in x.lower() for x in got[0])
+
+
 def brute_rules(text):
     t = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
