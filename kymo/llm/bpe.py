@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import put_bytes, text_or_empty, written
+from kymo.llm.common import most_frequent, put_bytes, text_or_empty, written
 
 #: Characters that str.split() takes as white space and the tokenizer doesn't.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -462,15 +462,8 @@ def word_counts(docs: DataFrame, text_col: str = "text", longest: int = 64) -> D
 
 
 def frequent(counts: DataFrame, most: int) -> list[str]:
-    """The words that occur so often that at most ``most`` do; the bound of what reaches the driver."""
-    counts = written(counts.filter("n > 1"), "word-counts")
-    by_n = counts.groupBy(F.when(F.col("n") < 100_000, F.col("n")).otherwise(F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).collect()
-    held, least = 0, None
-    for n, words in sorted(((r["n"], r["words"]) for r in by_n), reverse=True):
-        if held + words > most:
-            break
-        held, least = held + words, n
-    return [] if least is None else [r["word"] for r in counts.filter(F.col("n") >= least).select("word").collect()]
+    """The ``most`` most frequent of the words that occur twice or more; the bound of what reaches the driver."""
+    return [w for w, _ in most_frequent(written(counts.filter("n > 1"), "word-counts"), "word", "n", most)]
 
 
 @lru_cache(maxsize=2)

@@ -114,6 +114,56 @@ def maybe_in(found: tuple[str, int], values: np.ndarray) -> np.ndarray:
     return (bits[slot // 64] >> (slot % 64).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
+def _cut(rows: DataFrame, column: str, most: int) -> tuple[int, int]:
+    """The largest x such that more than ``most`` rows have ``column`` >= x, and how many have more than x.
+
+    ``column`` holds numbers from 0; a round of at most 1024 counts reaches the driver, and few rounds do.
+    """
+    top = rows.agg(F.max(column)).first()[0] or 0
+    low, high, held = 0, top, 0
+    step = 1 if top < 1024 else None
+    while True:
+        if step is None:  # most rows are small: one count each below 1023, then equal ranges
+            place = F.least(F.col(column), F.lit(1023))
+        else:
+            place = F.floor((F.col(column) - low) / F.lit(step)).cast("long")
+        found = rows.filter(F.col(column).between(low, high)).groupBy(place.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for p, n in sorted(((r["p"], r["n"]) for r in found), reverse=True):
+            if held + n > most:
+                break
+            held += n
+        if step is None and p < 1023:
+            return p, held
+        if step is not None:
+            if step == 1:
+                return low + p, held
+            low, high = low + p * step, min(high, low + (p + 1) * step - 1)
+        else:
+            low = 1023
+        step = max(1, -(-(high - low + 1) // 1024))
+
+
+def most_frequent(counts: DataFrame, word: str, n: str, most: int) -> list[tuple]:
+    """Exactly ``most`` (word, n) of the rows (all, where there are no more): the highest n first, among equal n by a hash of
+    the word, then by the word. No more than these rows and their hash ties reach the driver. ``n`` is never null or under 0."""
+    rows = counts.select(F.col(word).alias("word"), F.col(n).cast("long").alias("n"), F.xxhash64(word).bitwiseAND(F.lit((1 << 50) - 1)).alias("h"))
+    if most < 1:
+        return []
+    if rows.count() <= most:
+        taken, tied = rows, []
+    else:
+        least, held = _cut(rows, "n", most)
+        taken, ties = rows.filter(F.col("n") > least), rows.filter(F.col("n") == least)
+        tied = []
+        if held < most:
+            edge, more = _cut(ties, "h", most - held)
+            taken = taken.union(ties.filter(F.col("h") > edge))
+            tied = sorted(r["word"] for r in ties.filter(F.col("h") == edge).collect())[: most - held - more]
+            tied = [(w if isinstance(w, str) else bytes(w), least) for w in tied]
+    found = [(r["word"] if isinstance(r["word"], str) else bytes(r["word"]), r["n"]) for r in taken.select("word", "n").collect()]
+    return found + tied
+
+
 def plainly_named(docs: DataFrame, work, *names: str) -> DataFrame:
     """``work(renamed docs, *renamed names)`` on columns c0, c1, ..., so that no name of ``docs`` clashes with one inside;
     the result has those columns and gets the old names back."""

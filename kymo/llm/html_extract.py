@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z))", re.S)
+#: A quote opens a value only behind an equals sign, and only where another closes it. Nothing is tried twice.
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _NAME = re.compile(r"[a-z]+|[0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe template noframes xmp".split())
+#: Where the content of a raw element ends; only ASCII letters match in either case.
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I | re.A) for name in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Starting one of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dt dd tr td th".split())
@@ -47,87 +50,103 @@ PARAGRAPHS = frozenset("p pre td blockquote li dd dt h1 h2 h3 h4 h5 h6 figcaptio
 WEIGHT = {"article": 25.0, "main": 15.0, "div": 2.0, "section": 2.0, "blockquote": 1.0, "pre": 1.0, "td": 1.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "table": -1.0}
 
 
+class _Open:
+    """The open elements, by name too, so that no step goes through more of them than it closes."""
+
+    #: Between an end tag of a paragraph or list item and its start, these make it a stray one.
+    HOLDERS = ("article", "section", "div", "td", "body", "main")
+
+    def __init__(self) -> None:
+        self.items, self.tags = [0], ["#root"]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    def push(self, k: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.items))
+        if tag not in INLINE:
+            self.blocks.append(len(self.items))
+        self.items.append(k)
+        self.tags.append(tag)
+
+    def cut(self, j: int) -> None:
+        while len(self.items) > j:
+            self.items.pop()
+            tag = self.tags.pop()
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
+    def last(self, tags) -> int:
+        """The highest place of any of ``tags``, 0 where none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def closes(self, name: str) -> int:
+        """The place an end tag closes, 0 for a stray one."""
+        j = self.last((name,))
+        if name in INLINE and j < self.blocks[-1] or name in ("p", "li") and j < self.last(self.HOLDERS):
+            return 0
+        return j
+
+    def end_paragraph(self) -> None:
+        if self.tags[self.blocks[-1]] == "p":
+            self.cut(self.blocks[-1])
+
+    def end_own(self, ends: set[str], within: set[str]) -> None:
+        while (j := self.last(ends)) > self.last(within):
+            again = self.tags[j] in ("td", "th") and "tr" in ends
+            self.cut(j)
+            if not again:
+                return
+
+
 class _Tree:
-    """Elements in page order as parallel lists; ``text[k]`` are (place in page, element) text runs."""
+    """Elements in page order as parallel lists; ``runs`` are the text runs between them."""
 
     def __init__(self, html: str):
         self.tag, self.up, self.dropped = ["#root"], [-1], [False]
         self.runs: list[tuple[int, str]] = []  # (element, text); (element, "") where a block begins or ends there
-        self.holds_article = {0}
-        stack = [0]
+        stack = _Open()
         at = 0
-        low = None
         for m in iter(_TAG.scanner(html).search, None):
             if m.start() < at:
                 continue
             if m.start() > at:
-                self.runs.append((stack[-1], html[at : m.start()]))
+                self.runs.append((stack.items[-1], html[at : m.start()]))
             at = m.end()
             name = m[2]
             if name is None:
                 continue
             name = name.lower()
             if m[1]:
-                self._close(stack, name)
+                if j := stack.closes(name):
+                    if name not in INLINE:
+                        self.runs.append((stack.items[j - 1], ""))
+                    stack.cut(j)
                 continue
             if name in ENDS_P:
-                self._end_paragraph(stack)
-                if name in ENDS_OWN:
-                    self._end_own(stack, *ENDS_OWN[name])
-            elif name == "option":
-                self._end_own(stack, *ENDS_OWN[name])
+                stack.end_paragraph()
+            if name in ENDS_OWN:
+                stack.end_own(*ENDS_OWN[name])
             k = len(self.tag)
             self.tag.append(name)
-            self.up.append(stack[-1])
+            self.up.append(stack.items[-1])
             self.dropped.append(name in DROP or bool(m[3]) and self._unwanted(name, m[3]))
-            if name in ("article", "main"):
-                self.holds_article.update(stack)
             if name not in INLINE:
                 self.runs.append((k, ""))
             elif name == "br":
-                self.runs.append((stack[-1], " "))
+                self.runs.append((stack.items[-1], " "))
             if name in RAW:
-                low = low or html.lower()
-                end = low.find(f"</{name}", at)
-                at = len(html) if end < 0 else end
-                stack.append(k)
-            elif name not in VOID and not (m[3] or "").rstrip().endswith("/"):
-                stack.append(k)
-            elif name not in VOID and name not in INLINE:
-                stack.append(k)  # a slash doesn't close an element that has content
+                end = _RAW_END[name].search(html, at)
+                at = end.start() if end else len(html)
+                stack.push(k, name)
+            elif name not in VOID and (name not in INLINE or not (m[3] or "").rstrip().endswith("/")):
+                stack.push(k, name)  # a slash doesn't close an element that has content
         if at < len(html):
-            self.runs.append((stack[-1], html[at:]))
-
-    def _close(self, stack: list[int], name: str) -> None:
-        for j in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[j]]
-            if tag == name:
-                if name not in INLINE:
-                    self.runs.append((self.up[stack[j]], ""))
-                del stack[j:]
-                return
-            if name in INLINE and tag not in INLINE or name in ("p", "li") and tag in ("article", "section", "div", "td", "body", "main"):
-                return  # a stray end tag
-
-    def _end_paragraph(self, stack: list[int]) -> None:
-        for j in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[j]]
-            if tag == "p":
-                del stack[j:]
-                return
-            if tag not in INLINE:
-                return
-
-    def _end_own(self, stack: list[int], ends: set[str], within: set[str]) -> None:
-        for j in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[j]]
-            if tag in within:
-                return
-            if tag in ends:
-                del stack[j:]
-                if tag in ("td", "th") and "tr" in ends:
-                    continue
-                return
+            self.runs.append((stack.items[-1], html[at:]))
+        self.holds_article = [False] * len(self.tag)
+        for k in range(len(self.tag) - 1, 0, -1):
+            if self.holds_article[k] or self.tag[k] in ("article", "main"):
+                self.holds_article[self.up[k]] = True
 
     @staticmethod
     def _unwanted(name: str, attributes: str) -> bool:
@@ -156,13 +175,14 @@ def main_text(html: str | None) -> str:
     tag, up = tree.tag, tree.up
     gone = [False] * n
     for k in range(1, n):
-        own = tree.dropped[k] and not (k in tree.holds_article and tag[k] not in DROP)
+        own = tree.dropped[k] and not (tree.holds_article[k] and tag[k] not in DROP)
         gone[k] = own or gone[up[k]]
     # Text and link text of every element, and points of paragraphs for their ancestors.
     linked = [False] * n
-    paragraph = [0] * n
+    paragraph, block_of = [0] * n, [0] * n
     for k in range(1, n):
         linked[k] = tag[k] == "a" or linked[up[k]]
+        block_of[k] = block_of[up[k]] if tag[k] in INLINE else k
         paragraph[k] = k if tag[k] in PARAGRAPHS else paragraph[up[k]] if tag[k] in INLINE else 0
     chars, links, anchors = [0] * n, [0] * n, [0] * n
     length, commas = [0] * n, [0] * n
@@ -176,10 +196,7 @@ def main_text(html: str | None) -> str:
         chars[k] += size
         if linked[k]:
             links[k] += size
-        block = k
-        while block and tag[block] in INLINE:
-            block = up[block]
-        p = paragraph[k]
+        block, p = block_of[k], paragraph[k]
         if p and p != block and tag[block] in PARAGRAPHS:
             p = block
         at = p or block

@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import put_bytes, text_or_empty, written
+from kymo.llm.common import most_frequent, put_bytes, text_or_empty, written
 
 #: Stands for the end of a text among the words; no word has a space.
 END = b" "
@@ -361,17 +361,9 @@ def token_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
-    """What is broadcast: the words that occur so often that at most ``known`` do, none over 64 bytes; sums of the rest."""
-    short = counts.filter(F.octet_length("w") <= 64)
+    """What is broadcast: the ``known`` most frequent words of those up to 64 bytes, and the END; sums of the rest."""
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    by_count = short.groupBy(F.least("c", F.lit(100_000)).alias("c")).agg(F.count(F.lit(1)).alias("v")).collect()
-    held, least = 0, None
-    for c, v in sorted(((r["c"], r["v"]) for r in by_count), reverse=True):
-        if held + v > s.known:
-            break
-        held, least = held + v, c
-    got = [] if least is None else [(bytes(r["w"]), r["c"]) for r in short.filter((F.col("c") >= least) | (F.col("w") == F.lit(bytearray(END)))).collect()]
-    got = [x for x in got if x[0] != END]
+    got = most_frequent(counts.filter((F.octet_length("w") <= 64) & (F.col("w") != F.lit(bytearray(END)))), "w", "c", s.known)
     got.sort(key=lambda x: (-x[1], x[0]))
     end = counts.filter(F.col("w") == F.lit(bytearray(END))).select("c").collect()
     got = [(END, end[0]["c"] if end else 0), *got]
