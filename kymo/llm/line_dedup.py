@@ -60,10 +60,12 @@ def shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer((pad.join(lines) + pad).encode("utf-32-le", "surrogatepass"), "<u4").astype(_U)
     codes += _U(1)
     n = max(len(codes) - width + 1, 0)
-    h = codes[:n].copy()
-    for k in range(1, width):
-        h *= _U(0x100000001B3)
-        h += codes[k : k + n]
+    h, wide = codes, 1
+    while 2 * wide <= width:  # by doubling, then a character at a time
+        h = h[:-wide] * _U(pow(0x100000001B3, wide, 1 << 64)) + h[wide:]
+        wide *= 2
+    for k in range(wide, width):
+        h = h[:-1] * _U(0x100000001B3) + codes[k : k + len(h) - 1]
     starts = np.concatenate([[0], np.cumsum(size + width - 1)[:-1]]) if len(lines) else np.zeros(0, np.int64)
     count = np.maximum(size - width + 1, 1)
     offsets = np.concatenate([[0], np.cumsum(count)])
@@ -71,10 +73,19 @@ def shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     return mixed(h[at]), offsets
 
 
-def different(hashes: np.ndarray, offsets: np.ndarray, least: int) -> np.ndarray:
-    """Each line's number of different shingles; lines with fewer than ``least`` keep their number with repeats."""
+def different(hashes: np.ndarray, offsets: np.ndarray, least: int, most: int | None = None) -> np.ndarray:
+    """Each line's number of different shingles; lines with fewer than ``least`` keep their number with repeats, and so do
+    those whose shingles' first bytes alone show more than ``most`` different ones."""
     count = np.diff(offsets)
     many = np.flatnonzero(count >= least)
+    if most is not None and len(many):
+        shown = np.zeros(len(count) << 8, bool)
+        for a in range(0, len(hashes), 1 << 20):
+            row = np.searchsorted(offsets, (a, min(a + (1 << 20), len(hashes)) - 1), side="right") - 1
+            rows = np.arange(row[0], row[1] + 1)
+            n = np.minimum(offsets[rows + 1], a + (1 << 20)) - np.maximum(offsets[rows], a)
+            shown[(np.repeat(rows << 8, n)) + (hashes[a : a + (1 << 20)] >> _U(56)).astype(np.int64)] = True
+        many = many[shown.reshape(-1, 256)[many].sum(axis=1) <= most]
     for a in range(0, len(many), 1 << 14):
         own = many[a : a + (1 << 14)]
         n = count[own]
@@ -88,7 +99,7 @@ def different(hashes: np.ndarray, offsets: np.ndarray, least: int) -> np.ndarray
 
 def signatures(hashes: np.ndarray, offsets: np.ndarray, fuzzy: Fuzzy) -> tuple[np.ndarray, np.ndarray]:
     """(line, band key) pairs."""
-    count, kinds = np.diff(offsets), different(hashes, offsets, fuzzy.long)
+    count, kinds = np.diff(offsets), different(hashes, offsets, fuzzy.long, fuzzy.short)
     k = fuzzy.bands * fuzzy.rows
     out_line, out_key = [], []
 
@@ -99,28 +110,23 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray, fuzzy: Fuzzy) -> tuple[n
         out_line.append(np.repeat(line, fuzzy.bands))
         out_key.append(key.ravel())
 
-    def of(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = count[line]
-        ends = np.cumsum(n)
-        return np.arange(ends[-1]) + np.repeat(offsets[line] - (ends - n), n), ends - n
-
     short = np.flatnonzero(kinds <= fuzzy.short)
     if len(short):
-        at, first = of(short)
-        own = hashes[at]
+        first = np.cumsum(count[short]) - count[short]
+        own = hashes[np.repeat(kinds <= fuzzy.short, count)]
+        own = (own >> _U(32)).astype(np.uint32)
         sig = np.empty((len(short), k), _U)
         rng = np.random.default_rng(20_240_601)
-        for j, (a, b) in enumerate(rng.integers(1, 1 << 63, (k, 2), dtype=np.int64).astype(_U)):
-            sig[:, j] = np.minimum.reduceat((own * (a | _U(1)) + b) >> _U(16), first)
+        for j, (a, b) in enumerate(rng.integers(1, 1 << 32, (k, 2), dtype=np.uint32)):
+            sig[:, j] = np.minimum.reduceat(own * (a | np.uint32(1)) + b, first)
         banded(short, sig, 0)
     long = np.flatnonzero(kinds >= fuzzy.long)
     if len(long):
-        at, _ = of(long)
-        own = hashes[at]
-        cell = np.repeat(np.arange(len(long)) * k, count[long]) + ((own >> _U(32)) % _U(k)).astype(np.int64)
+        own = hashes[np.repeat(kinds >= fuzzy.long, count)]
+        cell = np.repeat(np.arange(len(long)) * k, count[long]) + ((own >> _U(32)) * _U(k) >> _U(32)).astype(np.int64)
         none = _U(0xFFFFFFFFFFFFFFFF)
         sig = np.full(len(long) * k, none)
-        np.minimum.at(sig, cell, mixed(own))
+        np.minimum.at(sig, cell, own & _U(0xFFFFFFFF))  # the bits that didn't choose the bin
         sig = sig.reshape(-1, k)
         for step in range(1, k):
             empty = sig == none
@@ -133,9 +139,14 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray, fuzzy: Fuzzy) -> tuple[n
     return np.concatenate(out_line), np.concatenate(out_key)
 
 
+def _spaced(line: str) -> str:
+    """White space as single spaces within; of printable lines, where only the space is white, most need no splitting."""
+    return line.strip() if line.isprintable() and "  " not in line else " ".join(line.split())
+
+
 def comparable(line: str) -> str:
     """What is compared of a line."""
-    return " ".join(line.lower().split())
+    return _spaced(line.lower())
 
 
 def _lines(texts: pa.Array) -> Iterator[tuple[int, int, str]]:
@@ -143,9 +154,8 @@ def _lines(texts: pa.Array) -> Iterator[tuple[int, int, str]]:
     for k, text in enumerate(texts):
         if text.is_valid:
             for j, line in enumerate(text.as_py().lower().split("\n")):
-                words = line.split()
-                if words:
-                    yield k, j, " ".join(words)
+                if line := _spaced(line):
+                    yield k, j, line
 
 
 def _digests(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +206,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, fuzzy: Fuzzy) -> Da
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, seen: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(lo, text) of the lines whose lo is in ``wanted``, read where each stands first.
+    """(lo, hi, text) of the lines whose lo is in ``wanted``, read where each stands first.
 
     Bit tables over rows and lines spare reading and shuffling most others; the join decides.
     """
@@ -230,10 +240,10 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, seen: DataFrame, wanted:
                 yield found()
 
     found = docs.select(F.xxhash64(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, line int, hi long, lo long, text string")
-    return found.join(places, ["id", "line", "hi", "lo"]).select("lo", "text")
+    return found.join(places, ["id", "line", "hi", "lo"]).select("lo", "hi", "text")
 
 
-def _linked(frame_bucket: np.ndarray, texts: list[str], node: np.ndarray, fuzzy: Fuzzy, forest: _Forest) -> Iterator[tuple[int, int]]:
+def _linked(frame_bucket: np.ndarray, texts: list[str], node: list[tuple[int, int]], fuzzy: Fuzzy, forest: _Forest) -> Iterator[tuple[int, int]]:
     """Spanning links between members of equal bucket (sorted) whose shingle sets have Jaccard similarity of ``least`` or more."""
     n = len(texts)
     hashes, offsets = shingles(texts, fuzzy.width)
@@ -254,7 +264,7 @@ def _linked(frame_bucket: np.ndarray, texts: list[str], node: np.ndarray, fuzzy:
     np.add.at(both, (key[1:][key[1:] == key[:-1]] >> _U(50)).astype(np.int64), 1)
     alike = both[begins[pairs]] >= fuzzy.least * (size[begins[pairs]] + size[begins[pairs] + 1] - both[begins[pairs]])
     for x in begins[pairs][alike].tolist():
-        if forest.join(int(node[x]), int(node[x + 1])):
+        if forest.join(node[x], node[x + 1]):
             yield x, x + 1
     for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
         if b - a <= 2:
@@ -277,14 +287,14 @@ def _linked(frame_bucket: np.ndarray, texts: list[str], node: np.ndarray, fuzzy:
             joined = fits[common >= fuzzy.least * (n_own + count - common)]
             if len(joined):
                 for y in rest[joined].tolist():
-                    if forest.join(int(node[x]), int(node[y])):
+                    if forest.join(node[x], node[y]):
                         yield x, y
                 front.extend(rest[joined].tolist())
                 rest = np.delete(rest, joined)
 
 
 def line_links(docs: DataFrame, seen: DataFrame, id_col: str, text_col: str, fuzzy: Fuzzy) -> DataFrame:
-    """Links (a, b) between lo of different lines; ``seen`` is ``occurrences`` as a table."""
+    """Links (a, b) between different lines, each by its whole digest (lo, hi); ``seen`` is ``occurrences`` as a table."""
     spark = docs.sparkSession
     keyed = seen.select(F.explode("keys").alias("key"), "lo").filter("key IS NOT NULL").repartition("key")  # one exchange, read twice
     shared = keyed.groupBy("key").agg(F.min("lo").alias("x"), F.max("lo").alias("y")).filter("x <> y").select("key")
@@ -298,7 +308,7 @@ def line_links(docs: DataFrame, seen: DataFrame, id_col: str, text_col: str, fuz
     dealt = dealt.select("lo", "key", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     dealt = dealt.select("lo", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).join(texts, "lo")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select("key", "p", "q", "lo", "text").repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q")
+    dealt = dealt.select("key", "p", "q", "lo", "hi", "text").repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
@@ -307,37 +317,46 @@ def line_links(docs: DataFrame, seen: DataFrame, id_col: str, text_col: str, fuz
 
         def found(rows: list[tuple]) -> pa.RecordBatch:
             bucket = np.concatenate([[0], np.cumsum([x[0] != y[0] for x, y in zip(rows, rows[1:], strict=False)])])
-            pairs = list(_linked(bucket, [r[2] for r in rows], np.array([r[1] for r in rows], np.int64), fuzzy, forest))
-            return pa.record_batch({"a": pa.array([rows[x][1] for x, _ in pairs], pa.int64()), "b": pa.array([rows[y][1] for _, y in pairs], pa.int64())})
+            pairs = list(_linked(bucket, [r[2] for r in rows], [r[1] for r in rows], fuzzy, forest))
+            ends = (pa.StructArray.from_arrays([pa.array([rows[p[k]][1][j] for p in pairs], pa.int64()) for j in (0, 1)], ["lo", "hi"]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays(list(ends), names=["a", "b"])
 
         for batch in batches:
             keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-            for key, lo, text in zip(keys, batch.column(3).to_pylist(), batch.column(4), strict=True):
+            nodes = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
+            for key, node, text in zip(keys, nodes, batch.column(5), strict=True):
                 if (chars > 500_000 or len(held) > 8_000) and held[-1][0] != key:
                     yield found(held)
                     held, chars = [], 0
-                held.append((key, lo, text.as_py()))
+                held.append((key, node, text.as_py()))
                 chars += len(held[-1][2])
         if held:
             yield found(held)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a struct<lo:long,hi:long>, b struct<lo:long,hi:long>")
 
 
 def _decided(docs: DataFrame, id_col: str, text_col: str, fuzzy: Fuzzy) -> tuple[DataFrame, DataFrame]:
     """``occurrences`` as a table, and of each line _id, _row, _same, _line, keep (where the line that stays stands) and kept."""
     seen = written(occurrences(docs, id_col, text_col, fuzzy).withColumn("signed", F.size("keys") > 0), "lines")
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_line").alias("line"), F.col("_row").alias("row"))
-    first = seen.groupBy("hi", "lo").agg(F.min(place).alias("first"))
+    first = seen.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     roots = components(line_links(docs, seen, id_col, text_col, fuzzy))
-    labelled = first.join(roots, first["lo"] == roots["node"], "left").select("hi", "lo", "first", F.coalesce("root", "lo").alias("root"), F.col("root").isNotNull().alias("_fuzzy"))
-    # Lines without a fuzzy link stand alone by their whole digest; roots of links are among the linked by lo.
-    ends = roots.select(F.col("root").alias("lo")).distinct().withColumn("_end", F.lit(True))
-    labelled = labelled.join(ends, "lo", "left").withColumn("group", F.when(F.col("_fuzzy") | F.col("_end"), F.lit(0)).otherwise(F.col("hi")))
-    kept = written(labelled.groupBy("root", "group").agg(F.min("first").alias("keep")), "line-components")
-    named = written(labelled.select("hi", "lo", "root", "group").join(kept, ["root", "group"]).select("hi", "lo", "keep"), "line-names")
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    lines = written(first.join(roots, F.struct("lo", "hi") == F.col("node"), "left").select("hi", "lo", "n", "first", "root"), "line-components")
+    similar = lines.filter("root IS NOT NULL")
+    stay = similar.groupBy("root").agg(F.min("first").alias("keep"))
+    named = similar.join(stay, "root").select("hi", "lo", "n", "keep").unionByName(lines.filter("root IS NULL AND n > 1").select("hi", "lo", "n", F.col("first").alias("keep")))
+    named = written(named, "line-names")  # a line that isn't here stands once and is like no other
+    # At most a thousand lines make up a thousandth of all each. They are broadcast, and their rows are spread in the join.
+    often = F.col("n") * 1000 >= (lines.agg(F.sum("n")).first()[0] or 0)
+    own = seen.select("hi", "lo", "_id", "_row", "_same", "_line").join(F.broadcast(named.filter(often).select("hi", "lo", F.col("keep").alias("_often"))), ["hi", "lo"], "left")
+    own = own.withColumn("_hi", F.when(F.col("_often").isNull(), F.col("hi")).otherwise(F.xxhash64("_row", "_line")))
+    others = named.filter(~often).select(F.col("hi").alias("_other_hi"), F.col("lo").alias("_other_lo"), F.col("keep").alias("_other"))
+    own = own.join(others, F.col("_often").isNull() & (F.col("_hi") == F.col("_other_hi")) & (F.col("lo") == F.col("_other_lo")), "left")
+    keep = F.coalesce("_often", "_other", place).alias("keep")
     stays = (F.col("_row") == F.col("keep")["row"]) & (F.col("_line") == F.col("keep")["line"])
-    return seen, seen.select("hi", "lo", "_id", "_row", "_same", "_line").join(named, ["hi", "lo"]).select("_id", "_row", "_same", "_line", "keep", stays.alias("kept"))
+    return seen, own.select("_id", "_row", "_same", "_line", keep).select("_id", "_row", "_same", "_line", "keep", stays.alias("kept"))
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fuzzy: Fuzzy = Fuzzy()) -> DataFrame:
