@@ -5,9 +5,10 @@ output softmax is factored by classes: first the class, then the word within it.
 own by falling count; the others fall into ``rare`` classes by their last two bytes, within which a word has its smoothed
 share of the training tokens. So every word has a probability, seen or not, and all of them sum to one.
 
-Counts are taken over all training texts. The network gets a warm start on a bounded sample on the driver; then every
-partition trains it further on all its training texts by truncated backpropagation, with the state carried from window to
-window, and the results are averaged by tokens in a tree. Texts are scored whole: windows bound the memory, and the state
+Counts are taken over all training texts. The network gets a warm start on a bounded sample on the driver; then shards,
+dealt and ordered by a hash of id and text and as many as the training tokens ask for, train it further on all their texts
+by truncated backpropagation, with the state carried from window to window, and the results are averaged by tokens in a
+tree. So scores depend on the rows alone, not on how files or partitions hold them. Texts are scored whole: windows bound the memory, and the state
 passes through them to the end of the text.
 
 Counts of at most ``known`` frequent words are broadcast; the other words of a text meet their counts by a join.
@@ -22,7 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import repeat
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,9 @@ class Settings:
     streams: int = 512
     known: int = 200_000
     warm_texts: int = 1_500
+    warm_bytes: int = 100_000  # longer texts aren't in the warm start's sample; the shards train on them
+    shard_tokens: int = 2_500_000  # a shard's training tokens, while that makes no more than most_shards
+    most_shards: int = 65_536
     warm_epochs: int = 2
     rate: float = 0.08
     clip: float = 0.05
@@ -400,18 +404,20 @@ def _chunks(texts: Iterator[tuple[int, str]], vocab: Vocabulary, s: Settings):
 
 
 def _averaged(found: DataFrame) -> list:
-    """Weighted means of parameters: first within shards of the cluster, then of the few shards on the driver."""
+    """Weighted means of the shards' parameters: first in 16 tasks, in order of shards, then of those on the driver."""
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, weight = None, 0.0
+        total, weight, first = None, 0.0, 0
         for batch in batches:
-            for blob, w in zip(batch.column(1), batch.column(2), strict=True):
+            for shard, blob, w in zip(*(batch.column(k) for k in range(3)), strict=True):
                 x, w = np.frombuffer(blob.as_py(), np.float32).astype(float), w.as_py()
+                first = shard.as_py() if total is None else first
                 total, weight = (x * w if total is None else total + x * w), weight + w
         if total is not None:
-            yield pa.record_batch({"shard": pa.array([0], pa.int32()), "blob": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary()), "weight": pa.array([weight])})
+            yield pa.record_batch({"shard": pa.array([first], pa.int32()), "blob": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary()), "weight": pa.array([weight])})
 
-    return found.repartition(16, "shard").mapInArrow(mean, "shard int, blob binary, weight double").collect()
+    spread = found.repartition(16, F.pmod("shard", F.lit(16))).sortWithinPartitions("shard")
+    return sorted(spread.mapInArrow(mean, "shard int, blob binary, weight double").collect(), key=lambda r: r["shard"])
 
 
 def train(docs: DataFrame, vocab: Vocabulary, id_col: str, text_col: str) -> Network:
@@ -422,7 +428,7 @@ def train(docs: DataFrame, vocab: Vocabulary, id_col: str, text_col: str) -> Net
     memory = {k: np.full_like(v, 1e-6) for k, v in net.p.items()}
     n = docs.count()
     near = F.pmod(F.xxhash64(F.lit(s.seed), id_col), F.lit(1 << 20))
-    sample = docs.filter(near < int(min(1.0, s.warm_texts / max(n, 1)) * (1 << 20))).select(near.alias("k"), text_or_empty(text_col).alias("t"))
+    sample = docs.filter((near < int(min(1.0, s.warm_texts / max(n, 1)) * (1 << 20))) & (F.octet_length(text_or_empty(text_col)) <= s.warm_bytes)).select(near.alias("k"), text_or_empty(text_col).alias("t"))
     warm = [vocab.read(r["t"])[0] for r in sorted(sample.collect(), key=lambda r: (r["k"], r["t"]))]
     for _ in range(s.warm_epochs):
         for a in range(0, len(warm), 500):
@@ -431,16 +437,25 @@ def train(docs: DataFrame, vocab: Vocabulary, id_col: str, text_col: str) -> Net
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, start, memory = _unpickled(name)
-        own, squares = Network({k: v.copy() for k, v in start.items()}, s), {k: v.copy() for k, v in memory.items()}
-        tokens = 0
-        for part in _chunks(((0, t.as_py()) for batch in batches for t in batch.column(0)), vocab, s):
-            own.train([x[1] for x in part], squares)
-            tokens += sum(len(x[1]) for x in part)
-        if tokens:
-            blob = np.concatenate([own.p[k].ravel() for k in Network.NAMES]).astype(np.float32).tobytes()
-            yield pa.record_batch({"shard": pa.array([zlib.crc32(blob) % 16], pa.int32()), "blob": pa.array([blob], pa.binary()), "weight": pa.array([float(tokens)])})
-
-    got = _averaged(docs.select(text_or_empty(text_col).alias("t")).mapInArrow(run, "shard int, blob binary, weight double"))
+
+        def trained(texts: Iterator[str]) -> tuple[bytes, float]:
+            own, squares = Network({k: v.copy() for k, v in start.items()}, s), {k: v.copy() for k, v in memory.items()}
+            tokens = 0
+            for part in _chunks(((0, t) for t in texts), vocab, s):
+                own.train([x[1] for x in part], squares)
+                tokens += sum(len(x[1]) for x in part)
+            return np.concatenate([own.p[k].ravel() for k in Network.NAMES]).astype(np.float32).tobytes(), float(tokens)
+
+        rows = ((k.as_py(), t) for batch in batches for k, t in zip(batch.column(0), batch.column(1), strict=True))
+        for shard, own in groupby(rows, key=lambda r: r[0]):
+            blob, tokens = trained(t.as_py() for _, t in own)
+            yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "blob": pa.array([blob], pa.binary()), "weight": pa.array([tokens])})
+
+    shards = max(1, min(s.most_shards, -(-vocab.tokens // s.shard_tokens)))
+    place = F.xxhash64(F.lit(s.seed + 1), id_col, text_col)
+    dealt = docs.select(F.pmod(place, F.lit(shards)).cast("int").alias("shard"), place.alias("place"), text_or_empty(text_col).alias("t"))
+    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "place").select("shard", "t")
+    got = _averaged(dealt.mapInArrow(run, "shard int, blob binary, weight double"))
     if got:
         whole = sum(r["weight"] for r in got)
         mean = sum(np.frombuffer(bytes(r["blob"]), np.float32).astype(float) * (r["weight"] / whole) for r in got).astype(np.float32)
