@@ -77,21 +77,22 @@ def best_fit(lengths: np.ndarray, cap: Capacity) -> tuple[np.ndarray, np.ndarray
 
 
 @lru_cache(maxsize=1)
-def _encoder(tokenizer_file: str) -> Encoder:
-    return Encoder(Merges(tokenizer_file), memory=800_000, decode=False)
+def _encoder(tokenizer_file: str, memory: int) -> Encoder:
+    return Encoder(Merges(tokenizer_file), memory=memory, decode=False)
 
 
-def pieces(docs: DataFrame, tokenizer_file: str, tokens: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_file: str, tokens: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, memory: int = 800_000) -> DataFrame:
     """Each text's ids with ``END_ID`` behind them, cut into pieces of ``tokens``; only the last may be shorter.
 
     id, piece, start, length, ids_crc32 and, if asked for, ids (array<int>). Null text counts as empty: one piece of one
-    id. Repeated rows and null ids stay; an empty table gives an empty result; other columns aren't read.
+    id. Repeated rows and null ids stay; an empty table gives an empty result; other columns aren't read. ``memory``: words
+    whose ids a worker remembers, at some 200 bytes each.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_file)
+        encoder = _encoder(tokenizer_file, memory)
         for batch in batches:
             row, number, start, length, crc, ids = [], [], [], [], [], []
 
@@ -123,7 +124,10 @@ def pieces(docs: DataFrame, tokenizer_file: str, tokens: int = 4096, id_col: str
 
 
 def pack_pieces(found: DataFrame, id_col: str = "doc_id", capacity: Capacity = Capacity(), group_rows: int = 24_000) -> DataFrame:
-    """``found`` with sequence_id and offset. ``group_rows``: the expected rows of one task's group."""
+    """``found`` with sequence_id and offset. ``group_rows``: the expected rows of one task's group.
+
+    Rows are dealt by their place in the table, so that neither null ids nor repeated rows fill a group.
+    """
     groups = max(1, round(found.count() / group_rows))
     schema = found.schema.add("sequence_id", "long").add("offset", "long")
 
@@ -132,10 +136,10 @@ def pack_pieces(found: DataFrame, id_col: str = "doc_id", capacity: Capacity = C
         where, offset = best_fit(group["length"].to_numpy().astype(np.int64), capacity)
         return group.append_column("sequence_id", pa.array(where + (key[0].as_py() << 40))).append_column("offset", pa.array(offset))
 
-    return found.withColumn("_group", F.pmod(F.xxhash64(id_col, "piece"), F.lit(groups))).groupBy("_group").applyInArrow(run, schema)
+    return found.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))).groupBy("_group").applyInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: Capacity = Capacity(), with_ids: bool = True, group_rows: int = 24_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: Capacity = Capacity(), with_ids: bool = True, group_rows: int = 24_000, memory: int = 800_000) -> DataFrame:
     """All texts packed; see ``pieces`` for its columns and edge cases. Offsets in a sequence run gapless from 0."""
-    found = written(pieces(docs, tokenizer_file, capacity.tokens, id_col, text_col, with_ids), "pieces")
+    found = written(pieces(docs, tokenizer_file, capacity.tokens, id_col, text_col, with_ids, memory), "pieces")
     return pack_pieces(found, id_col, capacity, group_rows)
