@@ -3,8 +3,9 @@
 A 64-bit fingerprint is mapped to 32 counts, one for each segment of two bits. The Manhattan distance of two such
 vectors never exceeds the Hamming distance of the fingerprints. The range join under that distance runs on a grid: the
 segments form ``limit + spare`` blocks, and vectors within Manhattan distance ``limit`` agree on at least ``spare`` whole
-blocks, so every choice of ``spare`` blocks is one grid whose cells are the counts there. Within a cell pairs are tested
-by Manhattan distance, then by Hamming distance. Counts are held in unary (sorted bits), so both tests are one XOR and a
+blocks, so every choice of ``spare`` blocks is one grid whose cells are the counts there. More spare blocks make more and
+narrower cells: links are the same for every ``spare``, and the number of fingerprints chooses the cheapest. Within a cell
+pairs are tested by Manhattan distance, then by Hamming distance. Counts are held in unary (sorted bits), so both tests are one XOR and a
 popcount.
 
 Cells with more than ``cell_rows`` fingerprints are dealt into blocks whose pairs go to different tasks. A task sends a
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -80,6 +82,17 @@ def grid_masks(limit: int = 4, spare: int = 2) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def cheapest_spare(n: int, limit: int = 4) -> int:
+    """The ``spare`` with the least work for ``n`` fingerprints: rows of all grids, at some 20 pair tests each, and the
+    pairs that meet in a cell by chance. Two counts of random bits agree with a probability of 3/8."""
+
+    def work(spare: int) -> float:
+        grids = comb(limit + spare, spare)
+        return grids * (20 * n + n * n / 2 * 0.375 ** (32 * spare / (limit + spare)))
+
+    return min(range(2, 9), key=work)
+
+
 class _Forest:
     def __init__(self) -> None:
         self.up: dict[int, int] = {}
@@ -130,8 +143,9 @@ def _links_in_runs(cell: np.ndarray, fp: np.ndarray, limit: int) -> Iterator[tup
                 rest = rest[~near]
 
 
-def links(prints: DataFrame, limit: int = 4, spare: int = 2, cell_rows: int = 4096) -> DataFrame:
+def links(prints: DataFrame, limit: int = 4, spare: int | None = None, cell_rows: int = 4096) -> DataFrame:
     """Links (a, b) between the distinct values fp of ``prints``: enough of them for the same components as all links."""
+    spare = spare or cheapest_spare(prints.count(), limit)
     u = unary(F.col("fp"))
     grids = F.array(*(F.struct(F.lit(k).cast("int").alias("g"), u.bitwiseAND(F.lit(m)).alias("c")) for k, m in enumerate(grid_masks(limit, spare))))
     cells = prints.select("fp", F.inline(grids))
@@ -179,7 +193,7 @@ def links(prints: DataFrame, limit: int = 4, spare: int = 2, cell_rows: int = 40
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4, spare: int = 2) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4, spare: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id, fp (long), component_id (the smallest id reachable over links).
 
     Fingerprints within ``limit`` bits are linked; texts without words (null ones too) share the fingerprint zero. A null
@@ -194,7 +208,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4, spare: int = 2) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4, spare: int | None = None) -> DataFrame:
     """One row of each component of ``docs``, the one with the smallest id, all columns kept.
 
     Rows are judged by id and text: of rows that share an id, those go whose text is a near copy of one that stays. Rows
