@@ -10,13 +10,17 @@ from kymo.llm.queries import word_tokenizer
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; it learns from the labels of the documents it gets."""
+    """Documents that the quality classifier rejects go; it learns from the labels of the documents it gets.
+
+    Null and empty texts are scored by their statistics; repeated rows and null ids are judged each for itself; without
+    labels all documents score alike and stay. An empty table gives an empty result."""
     workers_import(spark)
     return quality_classifier.keep_good(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go. Null and empty texts have no words and go; every row is judged for itself,
+    whatever its id. An empty table gives an empty result."""
     return quality_rules.keep_good(docs)
 
 
@@ -28,15 +32,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id stays."""
+    """Of each component of near copies the document with the smallest id stays. Rows with a null id stay; rows that share an
+    id are told apart by their text; null and empty texts are near copies of each other. An empty table gives an empty
+    result."""
     workers_import(spark)
     return simhash.drop_near_copies(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 4096 tokens, one row per piece."""
+    """Pieces of the documents in sequences of at most 4096 tokens, one row per piece. A null or empty text is one piece of
+    its end alone; repeated rows and null ids stay; an empty table gives an empty result.
+
+    The workers hold what earlier stages left as well, so they remember fewer words here than ``pack`` does by itself."""
     workers_import(spark)
-    return packing.pack(docs, word_tokenizer(), with_ids=False)
+    return packing.pack(docs, word_tokenizer(), with_ids=False, memory=200_000)
 
 
 STAGES = [
