@@ -237,5 +237,6 @@ def scored(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: st
 
 
 def keep_good(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` that are predicted good, with their columns."""
+    """The rows of ``docs`` that are predicted good, with their columns. Every row is judged by its own text: a null text as an
+    empty one, repeated rows and null ids each for itself. An empty table gives an empty result."""
     return plainly_named(docs, lambda plain, _, text: _scored(plain, model, text, plain.columns, settings).filter(F.col("score") >= settings.threshold), id_col, text_col)

@@ -116,6 +116,35 @@ def test_simhash_grid_loses_no_link(spark):
     assert unioned(len(prints), edges) == roots
 
 
+def test_every_spare_gives_the_same_groups(spark):
+    rng = np.random.default_rng(5)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 40, dtype=np.uint64)]
+    prints = sorted({x ^ sum(1 << int(b) for b in rng.choice(63, int(rng.integers(0, 6)), replace=False)) for x in base for _ in range(6)})
+    frame = spark.createDataFrame([(p,) for p in prints], "fp long")
+    roots = unioned(len(prints), [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4])
+    want = {p: min(q for q, r in zip(prints, roots, strict=True) if r == s) for p, s in zip(prints, roots, strict=True)}
+    for spare in (2, 5):
+        up = {r["node"]: r["root"] for r in components.components(simhash.links(frame, 4, spare)).collect()}
+        assert {p: up.get(p, p) for p in prints} == want
+    assert [simhash.cheapest_spare(n) for n in (0, 10**5)] == [2, 2] and simhash.cheapest_spare(10**9) > 2
+
+
+def test_lines_of_one_half_digest_keep_apart():
+    """Links name lines by both halves: three lines share lo, two of them are alike."""
+    texts = [" ".join(words(80, 20)), " ".join(words(80, 20)) + " x", " ".join(words(81, 20))]
+    forest = simhash._Forest()
+    got = list(line_dedup._linked(np.zeros(3, np.int64), texts, [(5, 1), (5, 2), (5, 3)], line_dedup.Fuzzy(), forest))
+    assert got == [(0, 1)] and forest.root((5, 3)) == (5, 3)
+
+
+def test_common_texts_take_the_salted_way(spark):
+    """Over a thousand rows, so that some digests are under a thousandth of them and some are not."""
+    rows = [(k, f"text {k}") for k in range(1500)] + [(2000 + k, "text 7") for k in range(300)] + [(3000, "text\n8"), (None, "text 7"), (None, "text 7")]
+    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(frame(spark, rows).repartition(6)).collect()}
+    want = {(k, k, 1, True) for k in range(1500) if k not in (7, 8)} | {(7, 7, 303, True), (8, 8, 2, True), (3000, 8, 2, False), (None, 7, 303, False)}
+    assert got == want | {(2000 + k, 7, 303, False) for k in range(300)}
+
+
 def test_unary_distance_is_a_lower_bound(spark):
     rng = np.random.default_rng(5)
     x = rng.integers(-(1 << 63), 1 << 63, 50, dtype=np.int64)

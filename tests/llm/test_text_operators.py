@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kymo.llm import bpe, html_extract, license_scan, lm_scoring, packing, quality_classifier, quality_rules
-from kymo.llm.common import workers_import
+from kymo.llm.common import most_frequent, workers_import
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -48,6 +49,26 @@ def test_bpe_is_the_library(spark):
     assert bpe.encode(docs(spark, ["a"]).limit(0), FILE).count() == 0
 
 
+@pytest.mark.parametrize("counts", [[150_000] * 300, [100_000 + k for k in range(300)], [2000 + k // 3 for k in range(300)], [1, 2, 2, 2, 5, 10**12]])
+def test_most_frequent_is_exact_at_every_size(spark, counts):
+    """Ties beyond the limit and counts of any size never empty the vocabulary or overfill it."""
+    rows = [(f"w{k}", n) for k, n in enumerate(counts)]
+    frame = spark.createDataFrame(rows, "w string, c long")
+    for most in (1, 250, 1000):
+        got = most_frequent(frame, "w", "c", most)
+        assert len(got) == len(set(got)) == min(most, len(rows)) and set(got) <= set(rows)
+        assert sorted((n for _, n in got), reverse=True) == sorted(counts, reverse=True)[:most]
+    assert most_frequent(frame.limit(0), "w", "c", 5) == []
+
+
+def test_frequent_words_of_large_counts(spark):
+    frame = spark.createDataFrame([(f"w{k}", 150_000 + k % 2) for k in range(300)] + [("once", 1)], "word string, n long")
+    assert len(bpe.frequent(frame, 250)) == 250 and len(bpe.frequent(frame, 1000)) == 300
+    counts = spark.createDataFrame([(bytearray(f"w{k}".encode()), 150_000) for k in range(300)] + [(bytearray(lm_scoring.END), 9)], "w binary, c long")
+    vocab = lm_scoring.vocabulary(counts, lm_scoring.Settings(known=250))
+    assert len(vocab.index) == 251 and vocab.index[lm_scoring.END] == 0 and vocab.tokens == 300 * 150_000 + 9
+
+
 def test_lexicon_is_minimal_and_exact():
     rng = random.Random(1)
     entries = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))): [rng.randrange(99) for _ in range(rng.randrange(1, 4))] for _ in range(300)}
@@ -121,6 +142,41 @@ def test_best_fit_keeps_every_capacity():
     assert len(packing.best_fit(np.zeros(0, np.int64), cap)[0]) == 0
 
 
+def plain_best_fit(lengths, cap):
+    """The definition, bin by bin: longest first, into the feasible bin of least weighted norm, the oldest on ties."""
+    bins, where = [], {}
+    for k in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
+        n = lengths[k]
+        best = None
+        for b, (t, d, a) in enumerate(bins):
+            if t >= n and d >= 1 and a >= n * n:
+                left = ((t - n) / cap.tokens, (d - 1) / cap.documents, (a - n * n) / cap.attention)
+                score = sum(w * x * x for w, x in zip(cap.weights, left, strict=True))
+                if best is None or score < best[0] - 1e-12:
+                    best = (score, b)
+        if best is None:
+            bins.append((cap.tokens, cap.documents, cap.attention))
+            best = (0, len(bins) - 1)
+        t, d, a = bins[best[1]]
+        bins[best[1]] = (t - n, d - 1, a - n * n)
+        where[k] = best[1]
+    return [where[k] for k in range(len(lengths))]
+
+
+def test_best_fit_is_the_definition():
+    rng = np.random.default_rng(8)
+    for cap in (packing.Capacity(tokens=64, documents=64, attention=64 * 64), packing.Capacity(100, 5, 4000, (1.0, 0.3, 0.2))):
+        lengths = rng.integers(1, 60, 150)
+        assert packing.best_fit(lengths, cap)[0].tolist() == plain_best_fit(lengths.tolist(), cap)
+
+
+def test_null_ids_and_repeats_are_dealt(spark):
+    found = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(30).cast("long").alias("length"), F.lit(1).cast("long").alias("ids_crc32"))
+    rows = packing.pack_pieces(found, capacity=packing.Capacity(tokens=64), group_rows=50).collect()
+    groups = Counter(r["sequence_id"] >> 40 for r in rows)
+    assert len(rows) == 400 and len(groups) == 8 and max(groups.values()) < 100
+
+
 LICENSES = [
     "", None, "Nothing here", "CC BY 4.0 and cc-by then CC  BY", "The GNU General Public License, version 3. GENERAL public\nlicense", "All rights reserved. all rights\treserved all rights",
     "Licensed under the Apache License, Version 2.0.", "Prefix words. Permission is hereby granted, free of charge, to any happy person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction. Tail",
@@ -280,6 +336,82 @@ def test_language_model_is_a_distribution():
     assert np.allclose(net.log10(texts), alone, atol=1e-4)
 
 
+def small_network():
+    s = lm_scoring.Settings(frequent=8, members=4, rare=3, hidden=3, window=4, streams=2)
+    known = [lm_scoring.END, *(f"w{k}".encode() for k in range(9))]
+    vocab = lm_scoring.Vocabulary(known, np.arange(20.0, 10.0, -1.0), np.ones(3), np.ones(3), 100, 10, s)
+    net = lm_scoring.Network.new(vocab)
+    rng = np.random.default_rng(1)
+    for v in net.p.values():
+        v += rng.normal(0, 0.3, v.shape).astype(np.float32)
+    return net, s
+
+
+def plain_log10(net, s, text):
+    """The network step by step, unit by unit."""
+    p, h = {k: v.astype(float) for k, v in net.p.items()}, s.hidden
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    state, seen, total = [0.0] * h, len(p["table"]) - 1, 0.0
+    for unit in text:
+        x, a = p["table"][seen], p["u"] @ np.array(state)
+        new = []
+        for j in range(h):
+            z, r = sigmoid(x[j] + a[j]), sigmoid(x[h + j] + a[h + j])
+            n = math.tanh(x[2 * h + j] + r * a[2 * h + j])
+            new.append((1 - z) * n + z * state[j])
+        state, seen = new, unit
+        classes = p["wc"] @ np.array(state) + p["bc"]
+        own = unit // s.members if unit < s.frequent else s.frequent // s.members + unit - s.frequent
+        total += classes[own] - math.log(sum(math.exp(c) for c in classes))
+        if unit < s.frequent:
+            members = p["wm"][own * s.members : (own + 1) * s.members] @ np.array(state) + p["bm"][own * s.members : (own + 1) * s.members]
+            total += members[unit % s.members] - math.log(sum(math.exp(m) for m in members))
+    return total / math.log(10)
+
+
+def test_network_is_its_plain_loop():
+    net, s = small_network()
+    rng = random.Random(6)
+    texts = [np.array([rng.randrange(11) for _ in range(rng.randrange(1, 40))]) for _ in range(7)]
+    assert np.allclose(net.log10(texts), [plain_log10(net, s, t.tolist()) for t in texts], atol=1e-4)
+
+
+def test_slopes_are_those_of_the_loss():
+    net, s = small_network()
+    rng = np.random.default_rng(2)
+    seen, target = rng.integers(0, 11, (4, 2)), rng.integers(0, 11, (4, 2))
+    start = np.zeros((4, 2), bool)
+    start[2, 1] = True
+    state = rng.normal(0, 0.5, (s.hidden, 2)).astype(np.float32)
+
+    def loss():
+        flat = net.forward(seen, state, start)[0][1:].transpose(1, 0, 2).reshape(s.hidden, -1)
+        return -net.output(flat, target.ravel(), None)[0].mean()
+
+    grads = {k: np.zeros_like(v) for k, v in net.p.items()}
+    kept = net.forward(seen, state, start)
+    _, slope = net.output(kept[0][1:].transpose(1, 0, 2).reshape(s.hidden, -1), target.ravel(), grads)
+    net.backward(seen, start, kept, slope.reshape(s.hidden, 4, 2), grads)
+    for name, g in grads.items():
+        for at in np.argsort(-np.abs(g).ravel())[:6]:
+            place, old = np.unravel_index(at, g.shape), net.p[name].ravel()[at]
+            up, down = [], []
+            for sign, out in ((1, up), (-1, down)):
+                net.p[name][place] = old + sign * 0.01
+                out.append(loss())
+            net.p[name][place] = old
+            assert abs((up[0] - down[0]) / 0.02 - g[place]) < 2e-3, (name, place)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["one", "two", "three", "four"]) for _ in range(rng.randrange(1, 30))) for _ in range(80)]
+    s = lm_scoring.Settings(frequent=16, members=4, rare=4, hidden=4, known=16, streams=8, window=8, warm_texts=20, shard_tokens=300)
+    frame = docs(spark, texts)
+    got = [{r["doc_id"]: r["score"] for r in lm_scoring.score(frame.repartition(n), settings=s).collect()} for n in (1, 5)]
+    assert all(got[0][k] == pytest.approx(got[1][k], abs=1e-4) for k in got[0])
+
+
 P = "This is a long paragraph, with commas, and enough words to be taken for text of an article by any scorer."
 
 
@@ -305,3 +437,107 @@ def test_extract_rows(spark):
     got = html_extract.extract(pages).collect()
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got) == [(0, "", 0), (1, P, len(P)), (1, P, len(P)), (2, "deep", 4)]
     assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+def test_raw_elements_end_behind_any_letters():
+    for odd in ("İstanbul İzmir", "ſK ﬁ", "ẞ"):
+        page = f"<article><p>{P} {odd}</p><SCRIPT>var x = '</p>';</Script><p>{P}</p><style>p{{}}</style ><p>end, of it.</p></article>"
+        assert html_extract.main_text(page) == f"{P} {odd}\n{P}\nend, of it."
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<span>" * 80_000 + "</b>" * 80_000, "<a " * 300_000 + '"', '<a ="' * 200_000 + "'", "<span>" * 70_000 + "<hr>" * 70_000, "<p><div>" + "<span>" * 70_000 + "</p>" * 70_000, "<div>" * 50_000 + "<article>" * 50_000, "<ul>" + "<span>" * 80_000 + "<li>" * 80_000, "<!--" * 250_000, "<script>" * 120_000],
+)
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 6  # quadratic work on these takes minutes
+
+
+class Node:
+    def __init__(self, tag, *inside):
+        self.tag, self.inside = tag, inside
+
+    def html(self):
+        return f"<{self.tag}>" + "".join(x if isinstance(x, str) else x.html() for x in self.inside) + f"</{self.tag}>"
+
+
+def brute_text(page):
+    """Scores by walking the tree for every element anew, for pages of div, section, p, a and ul."""
+    every, above = [], {}
+
+    def walk(node, up):
+        every.append(node)
+        above[id(node)] = up
+        for x in node.inside:
+            if isinstance(x, Node):
+                walk(x, node)
+
+    root = Node("#root", page)
+    walk(root, None)
+    chars = lambda n, linked=False, only=False: sum((len(x) if not only or linked or n.tag == "a" else 0) if isinstance(x, str) else chars(x, linked or n.tag == "a", only) for x in n.inside)
+    anchors = lambda n: (n.tag == "a") + sum(anchors(x) for x in n.inside if isinstance(x, Node))
+    density = lambda n: chars(n, only=True) / chars(n) if chars(n) else 0.0
+
+    def own(n):  # what stands in the block itself, in its links too
+        return [x for x in n.inside if isinstance(x, str)] + [x for c in n.inside if isinstance(c, Node) and c.tag == "a" for x in own(c)]
+
+    points = {}
+    for n in every:
+        if n.tag == "a" or not own(n):
+            continue
+        size, commas = sum(map(len, own(n))), sum(x.count(",") for x in own(n))
+        score = min(size / 100, 3.0) + commas + (1.0 if size >= 25 else 0.1)
+        holder = above[id(n)] if n.tag in ("p", "li") else n
+        for share in (1.0, 0.5, 1 / 3, 0.25):
+            if holder is None:
+                break
+            points[id(holder)] = points.get(id(holder), 0.0) + score * share
+            holder = above[id(holder)]
+    if not points:
+        return ""
+    weight = {"div": 2.0, "section": 2.0, "ul": -3.0}
+    final = {i: (v + (weight.get(n.tag, 0.0) if chars(n) else 0.0)) * (1 - density(n)) for n in every for i, v in points.items() if i == id(n)}
+    best = max((n for n in every if id(n) in final), key=lambda n: (final[id(n)], -every.index(n)))
+    keep = [best]
+    for n in above[id(best)].inside if best is not root else ():
+        if isinstance(n, Node) and n is not best and chars(n):
+            length = sum(map(len, own(n)))
+            good_p = n.tag == "p" and (length > 80 and density(n) < 0.25 or length and not chars(n, only=True) and "," in "".join(own(n)))
+            if final.get(id(n), 0.0) >= 0.2 * final[id(best)] or good_p:
+                keep.append(n)
+    blocks = []
+
+    def out(n, on):
+        on = (on or n in keep) and not (n.tag == "ul" and anchors(n) >= 3 and density(n) > 0.8)
+        if n.tag != "a":
+            blocks.append([])
+        for x in n.inside:
+            if isinstance(x, str):
+                if on:
+                    blocks[-1].append(x)
+            else:
+                out(x, on)
+        if n.tag != "a":
+            blocks.append([])
+
+    out(root, False)
+    return "\n".join("".join(b) for b in blocks if b)
+
+
+def test_scoring_is_the_definition():
+    rng = random.Random(12)
+    word = lambda n: ", ".join("w" + "x" * rng.randrange(3, 12) for _ in range(n))
+
+    def grown(depth):
+        tag = rng.choice(["div", "section", "p", "p", "ul"]) if depth else "p"
+        if tag == "p":
+            return Node("p", *[rng.choice([word(rng.randrange(1, 14)), Node("a", word(rng.randrange(1, 4)))]) for _ in range(rng.randrange(1, 3))])
+        if tag == "ul":
+            return Node("ul", *[Node("li", Node("a", word(1)) if rng.random() < 0.7 else word(3)) for _ in range(rng.randrange(1, 5))])
+        return Node(tag, *[grown(depth - 1) for _ in range(rng.randrange(1, 4))])
+
+    for _ in range(300):
+        page = Node("div", *[grown(3) for _ in range(rng.randrange(1, 4))])
+        assert html_extract.main_text(page.html()) == brute_text(page), page.html()
