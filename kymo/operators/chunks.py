@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -37,16 +38,19 @@ def rolled_over(records: DataFrame, keys: Sequence[str], target: int) -> DataFra
     """``records`` (keys, iteration, line, bytes) with ordinal.
 
     Rollover is a fold along a stream, so a stream is one ordered run: partitions are dealt by key and sorted, and a task
-    goes through its runs batch by batch with nothing but the open chunk in hand; no stream is ever held whole.
+    goes through its runs batch by batch with nothing but the open chunk in hand; no stream is ever held whole. Without
+    ``keys`` all rows are one stream: see ``along_one_stream``.
     """
+    if not keys:
+        return along_one_stream(records, target)
     schema = T.StructType([*records.schema.fields, T.StructField("ordinal", T.LongType(), False)])
     keys = list(keys)
-    dealt = records.repartition(*keys).sortWithinPartitions(*keys, "iteration") if keys else records.coalesce(1).sortWithinPartitions("iteration")
+    dealt = records.repartition(*keys).sortWithinPartitions(*keys, "iteration")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_key, ordinal, size = None, 0, 0
         for batch in batches:
-            key = list(batch[keys].itertuples(index=False, name=None)) if keys else [()] * len(batch)
+            key = list(batch[keys].itertuples(index=False, name=None))
             out = np.empty(len(batch), np.int64)
             edges = [0, *(k for k in range(1, len(batch)) if key[k] != key[k - 1]), len(batch)]
             for a, b in zip(edges, edges[1:], strict=False):
@@ -60,8 +64,45 @@ def rolled_over(records: DataFrame, keys: Sequence[str], target: int) -> DataFra
     return dealt.mapInPandas(run, schema)
 
 
+def chunk_starts(records: DataFrame, target: int | None) -> list[int]:
+    """The first iteration of every chunk of one stream, a chunk per record where ``target`` is None.
+
+    Only (iteration, bytes) go to the task that folds them: records are read and encoded side by side, and their lines stay
+    where they are. What comes back is a number for each chunk, as many as the recording's metadata lists.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, ordinal, size = -1, 0, 0
+        for batch in batches:
+            out, ordinal, size = chunk_ordinals(batch["bytes"].to_numpy(np.int64), target, ordinal, size)
+            new = np.concatenate([[True], out[1:] != out[:-1]]) if len(out) else np.zeros(0, bool)
+            if len(out):
+                new[0] = out[0] != last
+                last = out[-1]
+            yield pd.DataFrame({"first": batch["iteration"].to_numpy()[new].astype(str)})
+
+    if target is None:
+        return sorted(int(r["iteration"]) for r in records.select("iteration").collect())
+    small = records.select("iteration", "bytes").repartition(1).sortWithinPartitions("iteration")
+    return sorted(int(r["first"]) for r in small.mapInPandas(run, "first string").collect())
+
+
+def along_one_stream(records: DataFrame, target: int | None) -> DataFrame:
+    """``records`` of one stream with ordinal: each finds its chunk among the chunks' first iterations."""
+    starts = chunk_starts(records, target)
+    schema = T.StructType([*records.schema.fields, T.StructField("ordinal", T.LongType(), False)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(ordinal=np.array([bisect_right(starts, int(i)) - 1 for i in batch["iteration"]], np.int64))
+
+    return records.mapInPandas(run, schema)
+
+
 def individual(records: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each record a chunk of its own."""
+    if not keys:
+        return along_one_stream(records, None)
     return records.withColumn("ordinal", (F.row_number().over(Window.partitionBy(*keys).orderBy("iteration")) - 1).cast("bigint"))
 
 

@@ -68,3 +68,33 @@ def latest_state(df: DataFrame, keys: Sequence[str], iteration: str = "iteration
 def _end(df: DataFrame, keys: Sequence[str], iteration: str, pick) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(pick(F.struct(*rest), F.col(iteration)).alias("_row")).select(*keys, "_row.*")
+
+
+def cleared(df: DataFrame) -> DataFrame:
+    """The series without its rows; the schema stays."""
+    return df.filter(F.lit(False))
+
+
+def ordered(df: DataFrame, keys: Sequence[str] = (), iteration: str = "iteration") -> DataFrame:
+    """Rows of each series in order of iteration."""
+    return df.orderBy(*keys, iteration)
+
+
+def iterations(df: DataFrame, keys: Sequence[str] = (), iteration: str = "iteration") -> DataFrame:
+    """(keys, iteration), in order."""
+    return ordered(df.select(*keys, iteration), keys, iteration)
+
+
+def lengths(df: DataFrame, keys: Sequence[str] = (), iteration: str = "iteration") -> DataFrame:
+    """(keys, length, first_iteration, last_iteration): one aggregation, combined before its shuffle. No row for an empty series."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("length"), F.min(iteration).alias("first_iteration"), F.max(iteration).alias("last_iteration"))
+
+
+def is_empty(df: DataFrame) -> bool:
+    return df.isEmpty()
+
+
+def view(df: DataFrame, name: str) -> str:
+    """The series under a name for SQL, read only and without a copy."""
+    df.createOrReplaceTempView(name)
+    return name

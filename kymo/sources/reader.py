@@ -15,6 +15,7 @@ from pathlib import Path
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
@@ -22,10 +23,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from kymo.errors import DecoderError, IntegrityError, RecordError, RecordingError, UnknownStreamError
 from kymo.functions.strict_json import parse_strict
 from kymo.operators.state import Field, StateSchema
+from kymo.shipping import ship
 from kymo.sources import metadata
 
 LINES = "stream string, ordinal bigint, pos bigint, iteration decimal(20,0), line string"
-_HEAD = re.compile(rb'\{"iteration":\s*(\d+)')
+Decoders = dict[str, Callable[[Any], Any]] | list[tuple[str, Callable[[Any], Any]]]
 
 
 def verified_bytes(path: str | Path, size: int, checksum: str) -> bytes:
@@ -108,12 +110,15 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[_Chunk]:
         return self.chunks
 
-    def read(self, partition: _Chunk | None) -> Iterator[tuple]:
+    def read(self, partition: _Chunk | None) -> Iterator[pa.RecordBatch]:
+        """The chunk as one Arrow batch: it is verified whole before any of its rows is given."""
         if partition is None:  # no chunk is left to read
             return
         data = verified_bytes(partition.path, partition.size, partition.checksum)
-        for k, (iteration, line) in enumerate(checked_lines(data, partition.records, partition.first, partition.last, partition.width)):
-            yield partition.stream, partition.ordinal, k, Decimal(iteration), line
+        lines = checked_lines(data, partition.records, partition.first, partition.last, partition.width)
+        n = len(lines)
+        columns = [pa.array([partition.stream] * n, pa.string()), pa.array([partition.ordinal] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([Decimal(i) for i, _ in lines], pa.decimal128(20, 0)), pa.array([x for _, x in lines], pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=["stream", "ordinal", "pos", "iteration", "line"])
 
 
 class RecordingSource(DataSource):
@@ -179,6 +184,7 @@ class RecordingReader:
         return metadata.stream_catalog(self.spark, self.document)
 
     def lines(self, stream: str | None = None) -> DataFrame:
+        ship(self.spark)
         self.spark.dataSource.register(RecordingSource)
         self.spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
         source = self.spark.read.format("kymo_recording").option("path", self.root)
@@ -199,7 +205,8 @@ class RecordingReader:
             raise DecoderError("missing_decoder", f"no decoder for {missing} of {name}", fields=missing)
 
     def read_stream(self, name: str, kinds: dict[str, str | Callable[[pd.Series], pd.Series]] | None = None) -> DataFrame:
-        """States of a stream: stream, ordinal, pos, iteration, physical_time and its fields.
+        """States of a stream: stream, ordinal, pos, iteration, physical_time and its fields. Where a field has one of these
+        names, the column that isn't the field has underscores before its name, as many as it takes.
 
         ``kinds``: a DDL type for each field (or a pandas UDF from JSON text); without it fields are variants. Any fault in
         a chunk that the query needs fails the whole query.
@@ -209,28 +216,54 @@ class RecordingReader:
         record = F.from_json("line", "iteration decimal(20,0), physical_time double, values array<variant>", {"mode": "FAILFAST", "allowNonNumericNumbers": "false"})
         rows = self.lines(name).select("stream", "ordinal", "pos", "iteration", record.alias("r"))
         columns = [decoded(F.get(F.col("r.values"), F.lit(k)), (kinds or {}).get(f)).alias(f) for k, f in enumerate(fields)]
-        return rows.select("stream", "ordinal", "pos", "iteration", F.col("r.physical_time").alias("physical_time"), *columns)
+        fixed = [*(F.col(c).alias(beside(c, fields)) for c in ("stream", "ordinal", "pos", "iteration")), F.col("r.physical_time").alias(beside("physical_time", fields))]
+        return rows.select(*fixed, *columns)
 
     def read_all_streams(self, kinds: dict[str, dict[str, str]] | None = None) -> dict[str, DataFrame]:
         return {n: self.read_stream(n, (kinds or {}).get(n)) for n in self.stream_names()}
 
-    def iterate(self, name: str) -> Iterator[tuple[int, float | None, dict[str, Any]]]:
-        """Rows one verified chunk after another, on the driver."""
-        stream = self._stream(name)
+    def iterate(self, name: str, decoders: Decoders | None = None) -> Iterator[tuple[int, float | None, dict[str, Any]]]:
+        """Rows one verified chunk after another, on the driver; ``decoders`` make a field's value of its JSON value."""
+        stream, by_field = self._stream(name), self._decoders(name, decoders)
         for c in stream["chunks"]:
-            yield from self._chunk_rows(stream, c)
+            yield from self._chunk_rows(stream, c, by_field)
 
-    def latest_state(self, name: str) -> tuple[int, float | None, dict[str, Any]] | None:
+    def latest_state(self, name: str, decoders: Decoders | None = None) -> tuple[int, float | None, dict[str, Any]] | None:
         """The last row; only the newest chunk is opened. None for a stream without records."""
-        stream = self._stream(name)
-        return list(self._chunk_rows(stream, stream["chunks"][-1]))[-1] if stream["chunks"] else None
-
-    def _chunk_rows(self, stream: dict[str, Any], chunk: dict[str, Any]) -> Iterator[tuple[int, float | None, dict[str, Any]]]:
+        stream, by_field = self._stream(name), self._decoders(name, decoders)
+        return list(self._chunk_rows(stream, stream["chunks"][-1], by_field))[-1] if stream["chunks"] else None
+
+    def _decoders(self, name: str, decoders: Decoders | None) -> dict[str, Callable[[Any], Any]]:
+        """By field; pairs may not name a field twice, and all fields are covered before any chunk is opened."""
+        if decoders is None:
+            return {}
+        pairs = list(decoders.items() if isinstance(decoders, dict) else decoders)
+        if len({f.strip() for f, _ in pairs}) != len(pairs):
+            raise DecoderError("duplicate_decoder", f"a field of {name} has two decoders")
+        self._covered(name, dict(pairs))
+        return dict(pairs)
+
+    def _chunk_rows(self, stream: dict[str, Any], chunk: dict[str, Any], decoders: dict[str, Callable[[Any], Any]]) -> Iterator[tuple[int, float | None, dict[str, Any]]]:
         names = [f["name"] for f in stream["fields"]]
         data = verified_bytes(f"{self.root}/{stream['directory']}/{chunk['file']}", chunk["bytes"], chunk["checksum"])
         for _, line in checked_lines(data, chunk["records"], chunk["first_iteration"], chunk["last_iteration"], len(names)):
             iteration, time, values = parsed_record(line, len(names))
-            yield iteration, time, dict(zip(names, values, strict=True))
+            yield iteration, time, {f: _made(decoders[f], f, v) if f in decoders else v for f, v in zip(names, values, strict=True)}
+
+
+def _made(decoder: Callable[[Any], Any], field: str, value: Any) -> Any:
+    try:
+        return decoder(value)
+    except Exception as e:
+        raise DecoderError("decoder_failed", f"the decoder of {field} failed: {e}", field=field) from e
+
+
+def beside(name: str, fields: list[str]) -> str:
+    """``name`` of a column that stands beside ``fields``; names differ in more than their case."""
+    taken = {f.lower() for f in fields}
+    while name in taken:
+        name = "_" + name
+    return name
 
 
 def decoded(value: Column, kind: str | Callable[[pd.Series], pd.Series] | None) -> Column:

@@ -29,6 +29,7 @@ from kymo.operators import chunks as chunk_ops
 from kymo.operators import streams as stream_ops
 from kymo.operators.state import State, StateSchema
 from kymo.operators.streams import Storage, StreamConfig
+from kymo.shipping import ship
 from kymo.sources import metadata
 from kymo.sources.reader import checked_lines, dump, parsed_record, verified_bytes
 
@@ -302,27 +303,39 @@ class RecordingWriter:
             raise StorageError("unknown_stream", f"no stream {name!r}")
         self._seal(found[0])
 
-    def record(self, states: DataFrame, kinds: dict[str, str] | None = None, final: bool = False) -> None:
+    def record(self, states: DataFrame, kinds: dict[str, str] | None = None, final: bool = False, late: str = "pass") -> None:
         """All rows of a DataFrame (iteration, physical_time and fields), streams one after another.
 
-        Rows must come after what a stream has. Executors write chunks under names of their own attempt; a failed or
-        repeated task leaves only files that no descriptor names, and those are removed.
+        With ``late`` "raise" rows must come after what a stream has, as for ``observe_state``: its last iteration is passed
+        over, and an earlier one is an error that carries the rejected rows, before anything of the call is written. "pass"
+        is for rows that may have been taken already: those up to the last are passed over. Executors write chunks under
+        names of their own attempt; a failed or repeated task leaves only files that no descriptor names, and those are
+        removed.
         """
         self._running()
-        for s in self.streams:
+        if late not in ("raise", "pass"):
+            raise ValueError("late is raise or pass")
+        ship(states.sparkSession)
+        sampled = [stream_ops.sampled(states, s.interval, final=final) for s in self.streams]
+        for s, own in zip(self.streams, sampled, strict=True):
+            if late == "raise" and s.last is not None:
+                least = own.agg(F.min("iteration")).first()[0]
+                if least is not None and int(least) < s.last:
+                    raise StorageError("out_of_order_iteration", f"{s.config['name']} has {s.last} already", previous=s.last, stream=s.config["name"], rejected=own.filter(F.col("iteration") < s.last))
+        for s, own in zip(self.streams, sampled, strict=True):
             self._seal(s)
-            last = -1 if s.last is None else s.last
-            due = stream_ops.sampled(states, s.interval, final=final).filter(F.col("iteration") > last)
+            due = own.filter(F.col("iteration") > (-1 if s.last is None else s.last))
             records = stream_ops.encoded(due, s.fields, kinds=kinds)
+            large = stream_ops.oversized(records, s.queue).select("iteration", "bytes").head(1)
+            if large:
+                raise StorageError("record_too_large", f"a record of {large[0]['bytes']} bytes can't be queued in {s.queue}")
             chunked = chunk_ops.individual(records, []) if s.target is None else chunk_ops.rolled_over(records, [], s.target)
-            folder, attempt, queue, base = str(self.root / s.config["directory"]), uuid.uuid4().hex, s.queue, len(s.config["chunks"])
+            folder, attempt, base = str(self.root / s.config["directory"]), uuid.uuid4().hex, len(s.config["chunks"])
 
             def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
                 rows = rows.sort_values("iteration")
-                if (rows["bytes"] > queue).any():  # noqa: B023
-                    raise ValueError("record_too_large")
                 if not rows["iteration"].is_unique:
-                    raise ValueError("out_of_order_iteration")
+                    return pd.DataFrame([{"staged": ""}])
                 data = ("\n".join(rows["line"]) + "\n").encode()
                 name = f".{attempt}-{uuid.uuid4().hex}.tmp"  # noqa: B023
                 write_synced(Path(folder) / name, data)  # noqa: B023
@@ -330,6 +343,10 @@ class RecordingWriter:
                 return pd.DataFrame([{"staged": name, **{k: str(v) for k, v in own.items()}}])
 
             found = chunked.groupBy("ordinal").applyInPandas(write, "staged string, ordinal string, file string, records string, bytes string, checksum string, first_iteration string, last_iteration string").collect()
+            if any(not row["staged"] for row in found):
+                for left in Path(folder).glob(f".{attempt}-*.tmp"):
+                    left.unlink()
+                raise StorageError("out_of_order_iteration", f"an iteration of {s.config['name']} comes twice", stream=s.config["name"])
             for row in sorted(found, key=lambda r: int(r["ordinal"])):
                 own = {k: row[k] if k in ("file", "checksum") else int(row[k]) for k in ("ordinal", "file", "records", "bytes", "checksum", "first_iteration", "last_iteration")}
                 os.rename(Path(folder) / row["staged"], Path(folder) / (own["file"] + ".tmp"))
