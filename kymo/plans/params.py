@@ -12,11 +12,13 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kymo.errors import ConfigurationError
 from kymo.functions.strict_json import compact, conflict, flatten, parse_strict, pointer_of, pointer_segments, pretty, rebuild, same_json
+from kymo.shipping import ship
 
 Path_ = tuple[str, ...]
 U64 = 2**64
@@ -333,6 +335,26 @@ class ParameterSpace:
         return self.task(next(iter(good)) * stride)
 
 
+def document_leaves(documents: DataFrame, column: str, *keys: str) -> DataFrame:
+    """(keys, pointer, value): the leaves of a JSON document in each row, by the rules of parameter files. Values are JSON
+    text, but strings are themselves; a document that breaks the rules fails the query, a null one has no leaves."""
+    ship(documents.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, pointers, values = [], [], []
+            for k, text in enumerate(batch.column(batch.num_columns - 1)):
+                for path, value in flatten(_object(parse_strict(text.as_py()), column)).items() if text.is_valid else ():
+                    rows.append(k)
+                    pointers.append(pointer_of(path))
+                    values.append(value if isinstance(value, str) else compact(value))
+            own = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(pointers, pa.string()), pa.array(values, pa.string())], names=[*keys, "pointer", "value"])
+
+    kinds = "".join(f"`{k}` {documents.schema[k].dataType.simpleString()}, " for k in keys)
+    return documents.select(*keys, column).mapInArrow(run, kinds + "pointer string, value string")
+
+
 def _document(node: dict[str, Any]) -> Column:
     """JSON text of a nested document whose leaves are columns of JSON text."""
     parts: list[Column] = [F.lit("{")]

@@ -7,19 +7,22 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kymo.errors import StorageError
 from kymo.functions import columns
 from kymo.operators import chunks, series, state, streams
-from kymo.plans.params import ParameterSpace, Sweep
-from kymo.plans.runtime import Phase, Plan, activity_tasks, progress_tasks
-from kymo.sources.reader import RecordingReader, faults
-from kymo.sources.writer import RecordingBuilder
+from kymo.plans.params import ParameterSpace, Sweep, document_leaves
+from kymo.plans.provenance import ExecutionScope, load_artifact, persist_artifact
+from kymo.plans.runtime import Phase, Plan, Selector, activity_tasks, progress_summary, progress_tasks
+from kymo.sources.reader import RecordingReader, faults, record_fields
+from kymo.sources.writer import RecordingBuilder, newest_checkpoint
 from kymo.streaming.sink import capture
 
 START = "2024-01-01 00:00:00"
@@ -76,9 +79,9 @@ def record_encode_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines parsed again by a schema, with bits of doubles intact."""
-    parsed = F.from_json("line", "iteration decimal(20,0), values array<string>", {"mode": "FAILFAST", "allowNonNumericNumbers": "false"})
-    return records(spark, sf_dir).select(parsed.alias("r")).select(F.col("r.iteration").cast("bigint").alias("iteration"), F.element_at("r.values", 1).cast("double").alias("value"), F.element_at("r.values", 2).alias("event_type"))
+    """Lines decoded as the reader decodes them, with bits of doubles intact."""
+    fields = record_fields(records(spark, sf_dir).select("line"), ["value", "event_type"], {"value": "double", "event_type": "string"})
+    return fields.select(F.col("iteration").cast("bigint").alias("iteration"), "value", "event_type")
 
 
 def oversized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +112,12 @@ def rewind_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def checkpoint_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream that a continuation starts from: the highest last iteration, the last declared on ties."""
-    own = stream_summary(spark, sf_dir)
-    return own.withColumn("tie", F.floor(F.col("last_iteration") / 100) * 100).orderBy(F.desc("tie"), F.desc("user_id")).limit(1).select("user_id", "last_iteration", "tie")
+    own = stream_summary(spark, sf_dir).withColumn("tie", F.floor(F.col("last_iteration") / 100) * 100)
+    by_name = {str(r["user_id"]): r for r in own.orderBy("user_id").collect()}  # a row per stream, as metadata holds them
+    fields = [{"name": f.name} | ({"description": f.description} if f.description else {}) for f in EVENT_SCHEMA.fields]
+    declared = [{"name": n, "fields": fields, "chunks": [{"last_iteration": r["tie"]}]} for n, r in by_name.items()]
+    chosen = by_name[newest_checkpoint({"streams": declared}, EVENT_SCHEMA)["name"]]
+    return spark.createDataFrame([(chosen["user_id"], chosen["last_iteration"], chosen["tie"])], "user_id bigint, last_iteration bigint, tie bigint")
 
 
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,9 +203,8 @@ def parameter_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def param_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaves of the JSON payload of every event."""
-    own = states(spark, sf_dir).select("iteration", F.explode(F.from_json("props", "map<string,string>")).alias("name", "value"))
-    return own.select("iteration", F.concat(F.lit("/"), F.replace(F.replace("name", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))).alias("pointer"), "value")
+    """Leaves of the JSON payload of every event, by strict parsing and flattening."""
+    return document_leaves(states(spark, sf_dir).select("iteration", "props"), "props", "iteration")
 
 
 def param_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,32 +219,56 @@ def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of task statuses by phase: orders as tasks, their priority as phase."""
     status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "running").otherwise("pending")
     own = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("phase"), status.alias("status"))
-    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("pending", "running", "completed")]
-    return own.groupBy("phase").agg(F.count(F.lit(1)).alias("total"), *counts).withColumn("success", F.col("completed") == F.col("total"))
+    return progress_summary(own).select("phase", "total", "pending", "running", "completed", "success")
 
 
-PHASES = "SELECT * FROM VALUES (2, 1), (3, 2), (4, 2), (5, 3), (5, 4), (6, 1), (7, 6) AS t(phase, dependency)"
+PHASES = ((2, 1), (3, 2), (4, 2), (5, 3), (5, 4), (6, 1), (7, 6))
+
+
+def _phases(needs: dict[int, tuple[int, ...]]) -> Plan:
+    return Plan([Phase(p, f"phase {p}", activity_tasks(ParameterSpace({}, Sweep.parse({"mode": "cartesian", "axes": {}})), f"kind{p}", None), d) for p, d in needs.items()])
 
 
 def phase_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"WITH RECURSIVE need(phase) AS (SELECT 5 UNION ALL SELECT d.dependency FROM need n JOIN ({PHASES}) d ON d.phase = n.phase) SELECT DISTINCT phase FROM need")
+    plan = _phases({p: tuple(d for q, d in PHASES if q == p) for p in range(1, 8)})
+    return spark.createDataFrame([(p,) for p in plan.closure([5])], "phase int")
+
+
+def phase_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as phases, each of which needs the one before, declared backwards and found in order."""
+    rows = table(spark, sf_dir, "region").select("r_regionkey", "r_name").orderBy(F.desc("r_regionkey")).collect()
+    plan = _phases({r["r_regionkey"]: (r["r_regionkey"] - 1,) if r["r_regionkey"] else () for r in rows})
+    name = {r["r_regionkey"]: r["r_name"] for r in rows}
+    return spark.createDataFrame([(k, p, name[p]) for k, p in enumerate(plan.order([p.id for p in plan.phases]))], "place bigint, phase int, name string")
 
 
 def release_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Start offsets of tasks: dense ranks among those that aren't reused, times the delay."""
-    own = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("phase"), F.col("n_nationkey").alias("task"), (F.col("n_nationkey") % 3 == 0).alias("reused"))
-    rank = F.row_number().over(Window.partitionBy("phase", "reused").orderBy("task")) - 1
-    own = own.withColumn("delay_rank", F.when(~F.col("reused"), rank).cast("bigint"))
-    return own.withColumn("release_offset_ns", F.col("delay_rank") * 250_000_000)
+    rows = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey").orderBy("n_nationkey").collect()
+    phases = []
+    for region in sorted({r["n_regionkey"] for r in rows}):
+        nations = [r["n_nationkey"] for r in rows if r["n_regionkey"] == region]
+        found = progress_tasks(ParameterSpace({}, Sweep.parse({"mode": "cartesian", "axes": {"nation": {"values": nations}}})), "nation", 1, lambda c: None)
+        for t in found:
+            t.work = None if t.configuration.value("/nation") % 3 == 0 else t.work
+        phases.append(Phase(region, f"region {region}", found, delay_per_task=0.25))
+    out = []
+    for document, p in zip(Plan(phases).to_json()["phases"], phases, strict=True):
+        out += [(p.id, t.configuration.value("/nation"), t.reused, d["delay_rank"], d["release_offset_ns"]) for t, d in zip(p.tasks, document["tasks"], strict=True)]
+    return spark.createDataFrame(out, "phase int, task int, reused boolean, delay_rank bigint, release_offset_ns bigint")
 
 
 def varying_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return space().leaves(spark).groupBy("pointer").agg(F.count_distinct("value").alias("kinds")).filter("kinds > 1")
+    """What labels name: the parameters whose values differ among the tasks, with the number of their values."""
+    phase = Phase(1, "simulate", activity_tasks(space(), "run", None))
+    labels = spark.createDataFrame([(t.label,) for t in phase.tasks], "label string").select(F.explode(F.split(F.regexp_extract("label", r"\[(.*)\]", 1), ", ")).alias("part"))
+    parts = F.split("part", "=")
+    return labels.groupBy(F.concat(F.lit("/"), parts[0]).alias("pointer")).agg(F.count_distinct(parts[1]).alias("kinds"))
 
 
 def task_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task"), F.col("o_orderpriority").alias("phase"), F.col("o_orderstatus").alias("kind"))
-    return own.filter((F.col("phase") == "1-URGENT") & (F.col("kind") == "F") & (F.col("task") % 2 == 1))
+    return Selector("1-URGENT", "F", (("/odd", True),)).rows(own.withColumn("/odd", F.col("task") % 2 == 1)).drop("/odd")
 
 
 def hopf_step(spark: SparkSession, sf_dir: str, steps: int = 90) -> DataFrame:
@@ -340,6 +370,166 @@ def recording_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("iteration").cast("bigint").alias("iteration"), "value", F.lit(restored.iteration).cast("bigint").alias("restored"))
 
 
+def recording_resume_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As recording_resume, over the whole table: broken off past the middle, resumed, and recorded to the end."""
+    root = recordings_root(spark)
+    rows = _event_rows(spark, sf_dir)
+    half = rows.agg(F.max("iteration")).first()[0] // 2
+    with event_builder(root).create() as writer:
+        writer.record(rows.filter(F.col("iteration") <= half))
+    writer, restored = event_builder(root).continue_from_checkpoint()
+    with writer:
+        writer.record(rows.filter(F.col("iteration") > restored.iteration), late="raise")
+        writer.complete()
+    found = RecordingReader(spark, root / "events").read_stream("values", {"value": "double"})
+    return found.select(F.col("iteration").cast("bigint").alias("iteration"), "value", F.lit(restored.iteration).cast("bigint").alias("restored"))
+
+
+def recording_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later half is recorded, then all rows are offered: the error hands back what comes too late, and nothing is written."""
+    root = recordings_root(spark)
+    rows = _event_rows(spark, sf_dir)
+    half = rows.agg(F.max("iteration")).first()[0] // 2
+    with event_builder(root).create() as writer:
+        writer.record(rows.filter(F.col("iteration") > half))
+        before = writer.document["streams"][0]["chunks"][-1]["last_iteration"]
+        try:
+            writer.record(rows, late="raise")
+        except StorageError as e:
+            rejected = e.context["rejected"]
+            return rejected.select("iteration", F.lit(e.code).alias("code"), F.lit(before == writer.document["streams"][0]["chunks"][-1]["last_iteration"]).alias("untouched"))
+    raise AssertionError("late rows were taken")
+
+
+NATION_SCHEMA = state.StateSchema([state.Field("name", "Nation"), state.Field("region")])
+NATION_STREAM = {"name": "nations", "fields": ["region", "name"], "sampling_interval": {"iterations": 1}, "storage": {"layout": {"kind": "chunked", "target_bytes": 1 << 20}, "storage_queue_bytes": 4096}}
+
+
+def _nation_builder(root: Path) -> RecordingBuilder:
+    return RecordingBuilder(root / "nations", NATION_SCHEMA).add_stream(streams.StreamConfig.parse(NATION_STREAM))
+
+
+def _nation_states(spark: SparkSession, sf_dir: str) -> Iterator[state.State]:
+    """One state worked on from nation to nation, as an application's own loop does."""
+    own = NATION_SCHEMA.create_empty_state()
+    for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():
+        own.replace_simulation_time(r["n_nationkey"], r["n_nationkey"] / 4)
+        own.insert_payload("name", r["n_name"])
+        own.insert_payload("region", r["n_regionkey"])
+        yield own
+
+
+def _nation_rows(reader: RecordingReader) -> DataFrame:
+    found = reader.read_stream("nations", {"name": "string", "region": "int"})
+    return found.select(F.col("iteration").cast("bigint").alias("iteration"), "physical_time", "name", "region")
+
+
+def observed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States taken one by one on the driver, with a stream configured by a JSON document."""
+    root = recordings_root(spark)
+    with _nation_builder(root).create() as writer:
+        for own in _nation_states(spark, sf_dir):
+            writer.observe_state(own)
+        writer.complete_with_final_state(own)
+    return _nation_rows(RecordingReader(spark, root / "nations"))
+
+
+def recording_flushed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks sealed by hand after every tenth state."""
+    root = recordings_root(spark)
+    with _nation_builder(root).create() as writer:
+        for own in _nation_states(spark, sf_dir):
+            writer.observe_state(own)
+            if own.iteration % 10 == 9:
+                writer.flush_stream("nations")
+        writer.complete()
+    found = RecordingReader(spark, root / "nations").chunks()
+    return found.select("ordinal", F.element_at(F.split("file", "/"), -1).alias("file"), "records", F.col("first_iteration").cast("bigint").alias("first_iteration"), F.col("last_iteration").cast("bigint").alias("last_iteration"))
+
+
+def recording_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A writer that stopped, with an unpublished file left behind: opened again it goes on from the newest state."""
+    root = recordings_root(spark)
+    half = table(spark, sf_dir, "nation").count() // 2
+    writer, nothing = _nation_builder(root).open_or_resume()
+    with writer:
+        for own in _nation_states(spark, sf_dir):
+            if own.iteration < half:
+                writer.observe_state(own)
+    (root / "nations" / "streams" / "nations" / "chunk-000009.jsonl.tmp").write_bytes(b"{")
+    writer, restored = _nation_builder(root).open_or_resume()
+    with writer:
+        for own in _nation_states(spark, sf_dir):
+            if own.iteration > restored.iteration:
+                writer.observe_state(own)
+        writer.complete()
+    reader = RecordingReader(spark, root / "nations")
+    return _nation_rows(reader).select("iteration", "name", F.lit(restored.iteration).alias("restored"), F.lit(reader.timing["continuation_count"]).alias("continuations"), F.lit(nothing is None).alias("was_new"))
+
+
+def recording_decoders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored state, chunk after chunk on the driver, through decoders of the application's."""
+    reader = _recorded(spark, sf_dir)
+    rows = [(int(i), v["value"], v["event_type"]) for i, _, v in reader.iterate("whole", [("value", lambda x: x * 2), ("event_type", str.upper)])]
+    return spark.createDataFrame(rows, "iteration bigint, twice double, event_type string")
+
+
+def table_space(spark: SparkSession, sf_dir: str) -> ParameterSpace:
+    """Region names as fixed parameters; nations by part sizes as the sweep."""
+    regions = {r["r_name"].lower(): r["r_regionkey"] for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect()}
+    nations = [r[0] for r in table(spark, sf_dir, "nation").select("n_name").orderBy("n_nationkey").collect()]
+    sizes = [r[0] for r in table(spark, sf_dir, "part").select("p_size").distinct().orderBy("p_size").collect()]
+    return ParameterSpace({"regions": regions}, Sweep.parse({"mode": "cartesian", "axes": {"nation": {"values": nations}, "size": {"values": sizes}}}))
+
+
+def sweep_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every task by its ordinal, its values decoded by type."""
+    found = table_space(spark, sf_dir)
+    rows = [(t.ordinal, *t.decode_values(("/nation", str), ("/size", int)), len(t)) for t in map(found.task, range(found.task_count))]
+    return spark.createDataFrame(rows, "ordinal bigint, nation string, size bigint, parameters int")
+
+
+def sweep_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = table_space(spark, sf_dir).facts()
+    return spark.createDataFrame([tuple(facts.values())], ", ".join(f"{k} bigint" for k in facts))
+
+
+def sweep_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks of each nation, by matching its name."""
+    found = table_space(spark, sf_dir)
+    own = [found.matching(spark, "/nation", n).select("ordinal", F.lit(n).alias("nation")) for n in found.sweep.axes[0].values]
+    return reduce(DataFrame.unionByName, own)
+
+
+def sweep_exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every task as a written document, read back by Spark."""
+    found, root = table_space(spark, sf_dir), recordings_root(spark)
+    for task in found.tasks():
+        task.write_resolved_json(root / f"task-{task.ordinal:06d}.json")
+    read = spark.read.json(f"file://{root}/*.json", multiLine=True)
+    return read.select("parameters.nation", "parameters.size", F.col("parameters.regions.asia").alias("asia"))
+
+
+def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every nation's row as an input kept under its digest; those of one region are the same bytes and one file."""
+    scope = ExecutionScope.create_named(recordings_root(spark), "run")
+    rows = []
+    for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect():
+        own, created = persist_artifact(scope, "region", "txt", str(r["n_regionkey"]).encode())
+        rows.append((r["n_nationkey"], own.sha256, created, load_artifact(scope.directory, own).decode()))
+    return spark.createDataFrame(rows, "nation int, sha256 string, created boolean, content string")
+
+
+def series_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.lengths(states(spark, sf_dir), KEYS)
+
+
+def series_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered series under a name for SQL."""
+    name = series.view(series.ordered(states(spark, sf_dir).select("user_id", "iteration", "value"), KEYS), "kymo_series")
+    return spark.sql(f"SELECT user_id, iteration, value FROM {name}")
+
+
 def stream_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream into a recording, in micro-batches."""
     root = recordings_root(spark)
@@ -367,6 +557,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         chunk_descriptors_individual, stream_summary, rewind_prefix, checkpoint_choice, latest_state, first_state, state_at_position, series_replace_at, series_pop,
         series_append, order_violations, physical_time, time_advance, populated_fields, sweep_cartesian, sweep_over_tables, sweep_cases, sweep_match, sweep_unique,
         fixed_join_sweep_json, parameter_leaves, param_leaves, param_conflicts, status_summary, phase_closure, release_offsets, varying_keys, task_select, plan_tasks,
+        phase_order, sweep_points, sweep_facts, sweep_matched, sweep_exported, artifacts, series_lengths, series_view, observed_states, recording_flushed, recording_reopened,
+        recording_decoders, recording_out_of_order, recording_resume_all,
         recording_roundtrip, recording_pruned_scan, recording_catalog, recording_latest, recording_faults, recording_resume, stream_capture,
     )
     return {f.__name__: f for f in found} | {"hopf_trajectory": hopf_step}
@@ -390,6 +582,8 @@ m AS (SELECT user_id, count(*) AS chunk_count, CAST(sum(records) AS BIGINT) AS r
 _SPACE = "t AS (SELECT (a.i * 3 + b.i) AS ordinal, a.v AS temperature, b.v AS seed FROM (VALUES (0, 280.0::DOUBLE), (1, 300.0::DOUBLE)) a(i, v), (VALUES (0, 7::BIGINT), (1, 11::BIGINT), (2, 13::BIGINT)) b(i, v))"
 _CASES = "c AS (SELECT * FROM (VALUES (0, 275.0::DOUBLE, 0.2::DOUBLE), (1, 290.0::DOUBLE, 0.1::DOUBLE), (2, 310.0::DOUBLE, 0.05::DOUBLE)) AS c(ordinal, temperature, increment))"
 
+_TABLE_SPACE = "WITH a AS (SELECT n_name AS nation, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation), b AS (SELECT size, row_number() OVER (ORDER BY size) - 1 AS j FROM (SELECT DISTINCT p_size AS size FROM part)), t AS (SELECT i * (SELECT count(*) FROM b) + j AS ordinal, nation, size FROM a CROSS JOIN b)"
+
 
 def oracle_sql() -> dict[str, str]:
     last = "row_number() OVER (PARTITION BY user_id ORDER BY iteration)"
@@ -437,6 +631,20 @@ def oracle_sql() -> dict[str, str]:
         "recording_latest": f"WITH {_STATES} SELECT t.stream, iteration, physical_time, value FROM s, (VALUES ('values'), ('whole')) t(stream) WHERE iteration = (SELECT max(iteration) FROM s)",
         "recording_faults": "SELECT 'values' AS stream, 0 AS ordinal, 'size_mismatch' AS fault UNION ALL SELECT 'whole', 0, 'checksum_mismatch'",
         "recording_resume": f"WITH {_STATES} SELECT iteration, value, 500 AS restored FROM s WHERE iteration % 10 = 0 AND iteration <= 800",
+        "recording_resume_all": f"WITH {_STATES}, m AS (SELECT max(iteration) // 2 AS half FROM s) SELECT iteration, value, (SELECT max(iteration) FROM s, m WHERE iteration <= half AND iteration % 100 = 0) AS restored FROM s WHERE iteration % 10 = 0",
+        "recording_out_of_order": f"WITH {_STATES}, m AS (SELECT max(iteration) AS last FROM s WHERE iteration % 10 = 0) SELECT iteration, 'out_of_order_iteration' AS code, true AS untouched FROM s, m WHERE iteration % 10 = 0 AND iteration < last",
+        "observed_states": "SELECT n_nationkey AS iteration, n_nationkey / 4.0 AS physical_time, n_name AS name, n_regionkey AS region FROM nation",
+        "recording_flushed": "SELECT n_nationkey // 10 AS ordinal, 'chunk-' || lpad(CAST(n_nationkey // 10 AS VARCHAR), 6, '0') || '.jsonl' AS file, count(*) AS records, min(n_nationkey) AS first_iteration, max(n_nationkey) AS last_iteration FROM nation GROUP BY n_nationkey // 10",
+        "recording_reopened": "SELECT n_nationkey AS iteration, n_name AS name, (SELECT count(*) // 2 - 1 FROM nation) AS restored, 1 AS continuations, true AS was_new FROM nation",
+        "recording_decoders": f"WITH {_STATES} SELECT iteration, value * 2 AS twice, upper(event_type) AS event_type FROM s QUALIFY iteration % 100 = 0 OR iteration = max(iteration) OVER ()",
+        "phase_order": "SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS place, r_regionkey AS phase, r_name AS name FROM region",
+        "sweep_points": f"{_TABLE_SPACE} SELECT ordinal, nation, size, (SELECT count(*) FROM region) + 2 AS parameters FROM t",
+        "sweep_facts": "SELECT r AS fixed_parameter_count, 2 AS sweep_parameter_count, r + 2 AS parameter_count, (SELECT count(*) FROM nation) * (SELECT count(DISTINCT p_size) FROM part) AS task_count FROM (SELECT count(*) AS r FROM region)",
+        "sweep_matched": f"{_TABLE_SPACE} SELECT ordinal, nation FROM t",
+        "sweep_exported": f"{_TABLE_SPACE} SELECT nation, size, (SELECT r_regionkey FROM region WHERE r_name = 'ASIA') AS asia FROM t",
+        "artifacts": "SELECT n_nationkey AS nation, sha256(CAST(n_regionkey AS VARCHAR)) AS sha256, n_nationkey = min(n_nationkey) OVER (PARTITION BY n_regionkey) AS created, CAST(n_regionkey AS VARCHAR) AS content FROM nation",
+        "series_lengths": f"WITH {_STATES} SELECT user_id, count(*) AS length, min(iteration) AS first_iteration, max(iteration) AS last_iteration FROM s GROUP BY user_id",
+        "series_view": f"WITH {_STATES} SELECT user_id, iteration, value FROM s",
         "stream_capture": f"WITH {_STATES} SELECT iteration, value, event_type FROM s WHERE iteration % 100 = 0",
         "hopf_trajectory": "WITH RECURSIVE h AS (SELECT CAST(mu AS DOUBLE) AS mu, 0 AS iteration, 1.0::DOUBLE AS x, 0.0::DOUBLE AS y FROM (VALUES (-0.25), (0.25), (1.0)) AS v(mu) UNION ALL SELECT mu, iteration + 1, x + 0.01 * (mu * x - 1.0 * y - (x * x + y * y) * x), y + 0.01 * (1.0 * x + mu * y - (x * x + y * y) * y) FROM h WHERE iteration < 90) SELECT mu, CAST(iteration AS BIGINT) AS iteration, round(x, 9) AS x, round(y, 9) AS y FROM h",
     }

@@ -213,11 +213,7 @@ class RecordingReader:
         """
         fields = self.stream_schema(name).names()
         self._covered(name, kinds)
-        record = F.from_json("line", "iteration decimal(20,0), physical_time double, values array<variant>", {"mode": "FAILFAST", "allowNonNumericNumbers": "false"})
-        rows = self.lines(name).select("stream", "ordinal", "pos", "iteration", record.alias("r"))
-        columns = [decoded(F.get(F.col("r.values"), F.lit(k)), (kinds or {}).get(f)).alias(f) for k, f in enumerate(fields)]
-        fixed = [*(F.col(c).alias(beside(c, fields)) for c in ("stream", "ordinal", "pos", "iteration")), F.col("r.physical_time").alias(beside("physical_time", fields))]
-        return rows.select(*fixed, *columns)
+        return record_fields(self.lines(name).drop("iteration"), fields, kinds)
 
     def read_all_streams(self, kinds: dict[str, dict[str, str]] | None = None) -> dict[str, DataFrame]:
         return {n: self.read_stream(n, (kinds or {}).get(n)) for n in self.stream_names()}
@@ -251,6 +247,15 @@ class RecordingReader:
             yield iteration, time, {f: _made(decoders[f], f, v) if f in decoders else v for f, v in zip(names, values, strict=True)}
 
 
+def record_fields(lines: DataFrame, fields: list[str], kinds: dict[str, str | Callable[[pd.Series], pd.Series]] | None = None) -> DataFrame:
+    """Decoded records of ``line``: the other columns of ``lines``, iteration, physical_time and ``fields``, by ``beside`` names."""
+    record = F.from_json("line", "iteration decimal(20,0), physical_time double, values array<variant>", {"mode": "FAILFAST", "allowNonNumericNumbers": "false"})
+    rest = [c for c in lines.columns if c != "line"]
+    rows = lines.select(*rest, record.alias("r"))
+    fixed = [*(F.col(c).alias(beside(c, fields)) for c in rest), *(F.col(f"r.{c}").alias(beside(c, fields)) for c in ("iteration", "physical_time"))]
+    return rows.select(*fixed, *(decoded(F.get(F.col("r.values"), F.lit(k)), (kinds or {}).get(f)).alias(f) for k, f in enumerate(fields)))
+
+
 def _made(decoder: Callable[[Any], Any], field: str, value: Any) -> Any:
     try:
         return decoder(value)

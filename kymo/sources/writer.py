@@ -182,7 +182,7 @@ class RecordingBuilder:
         """Rewind all streams to the newest complete state (of ``stream``, if named) and give it back."""
         writer = self._continued()
         try:
-            chosen = self._checkpoint(writer.document, stream)
+            chosen = newest_checkpoint(writer.document, self.schema, stream)
             last = chosen["chunks"][-1]
             data = verified_bytes(self.root / chosen["directory"] / last["file"], last["bytes"], last["checksum"])
             line = checked_lines(data, last["records"], last["first_iteration"], last["last_iteration"], len(chosen["fields"]))[-1][1]
@@ -196,13 +196,6 @@ class RecordingBuilder:
             raise
         return RecordingWriter(self, writer.document, writer.lease), state
 
-    def _checkpoint(self, document: dict[str, Any], stream: str | None) -> dict[str, Any]:
-        whole = [(f.name, f.description) for f in self.schema.fields]
-        good = [s for s in document["streams"] if [(f["name"], f.get("description")) for f in s["fields"]] == whole and s["chunks"] and stream in (None, s["name"])]
-        if not good:
-            raise StorageError("no_checkpoint", "no stream holds complete states")
-        return max(enumerate(good), key=lambda x: (x[1]["chunks"][-1]["last_iteration"], x[0]))[1]
-
     def open_or_resume(self) -> tuple[RecordingWriter, State | None]:
         """A new recording where there is none; else its continuation, which needs a checkpoint."""
         return self.continue_from_checkpoint() if self.root.exists() else (self.create(), None)
@@ -335,7 +328,7 @@ class RecordingWriter:
             def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
                 rows = rows.sort_values("iteration")
                 if not rows["iteration"].is_unique:
-                    return pd.DataFrame([{"staged": ""}])
+                    return pd.DataFrame([dict.fromkeys(("staged", "ordinal", "file", "records", "bytes", "checksum", "first_iteration", "last_iteration"), "")])
                 data = ("\n".join(rows["line"]) + "\n").encode()
                 name = f".{attempt}-{uuid.uuid4().hex}.tmp"  # noqa: B023
                 write_synced(Path(folder) / name, data)  # noqa: B023
@@ -389,6 +382,15 @@ class RecordingWriter:
         return self._end({"state": "failed", "message": message}, terminal_metadata)
 
 
+def newest_checkpoint(document: dict[str, Any], schema: StateSchema, stream: str | None = None) -> dict[str, Any]:
+    """The stream of whole states (of that name, if one is given) that came furthest, the last declared on ties."""
+    whole = [(f.name, f.description) for f in schema.fields]
+    good = [s for s in document["streams"] if [(f["name"], f.get("description")) for f in s["fields"]] == whole and s["chunks"] and stream in (None, s["name"])]
+    if not good:
+        raise StorageError("no_checkpoint", "no stream holds complete states")
+    return max(enumerate(good), key=lambda x: (x[1]["chunks"][-1]["last_iteration"], x[0]))[1]
+
+
 def summaries(document: dict[str, Any]) -> list[dict[str, Any]]:
     """Per stream, in order of declaration: chunk_count, records, bytes, first_iteration, last_iteration."""
     out = []

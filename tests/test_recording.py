@@ -11,7 +11,7 @@ from kymo.operators.streams import Storage, StreamConfig
 from kymo.sources import metadata
 from kymo.sources.reader import RecordingReader, disordered, faults, verified_bytes
 from kymo.sources.writer import RecordingBuilder, reconcile
-from kymo.streaming.sink import capture
+from kymo.streaming.sink import RecordingSink, capture
 
 SCHEMA = StateSchema([Field("population", "Counts"), Field("label")])
 GOLDEN = b'{"iteration":0,"physical_time":0.0,"values":[[2.0,1.0],"start"]}\n{"iteration":2,"physical_time":0.5,"values":[[1.0,2.0],"later"]}\n'
@@ -249,3 +249,72 @@ def test_structured_streaming(spark, tmp_path):
         query.processAllAvailable()
         query.stop()
         assert [g["records"] for g in writer.complete()] == [33, 17]
+
+
+def test_late_rows_are_rejected(spark, tmp_path):
+    with builder(tmp_path / "r").create() as writer:
+        writer.record(frame(spark, 0, 6), late="raise")
+        with pytest.raises(StorageError) as e:
+            writer.record(frame(spark, 3, 5).union(frame(spark, 6, 7)), late="raise")
+        assert e.value.code == "out_of_order_iteration" and sorted(r["iteration"] for r in e.value.context["rejected"].collect()) == [3, 4]
+        writer.record(frame(spark, 5, 8), late="raise")  # the last one taken is passed over
+        assert code(StorageError, lambda: writer.record(frame(spark, 9, 10).union(frame(spark, 9, 10)), late="raise")) == "out_of_order_iteration"
+        assert [g["records"] for g in writer.complete()] == [8, 4]
+    assert not list((tmp_path / "r").rglob("*.tmp"))
+
+
+def test_record_reads_in_several_tasks(spark, tmp_path):
+    """What one task folds is numbers only, and chunks are those of states taken one by one."""
+    from kymo.operators import chunks, streams
+
+    records = streams.encoded(frame(spark, 0, 40), ["label"])
+    plan = chunks.along_one_stream(records, 200)._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and "Exchange" not in plan
+    for target in (200, None):
+        with builder(tmp_path / f"a{target}", Storage(target, 1 << 20), 10).create() as a, builder(tmp_path / f"b{target}", Storage(target, 1 << 20), 10).create() as b:
+            a.record(frame(spark, 0, 40))
+            for s in states(*range(40)):
+                s.insert_payload("population", [float(s.iteration)])
+                b.observe_state(s)
+            a.complete()
+            b.complete()
+            assert [s["chunks"] for s in a.document["streams"]] == [s["chunks"] for s in b.document["streams"]]
+
+
+def test_fields_may_have_the_names_of_columns(spark, tmp_path):
+    schema = StateSchema([Field("pos"), Field("stream"), Field("_pos")])
+    with RecordingBuilder(tmp_path / "r", schema).with_shared_storage(Storage(512, 4096)).add_stream(StreamConfig("all", ("pos", "stream", "_pos"), 1)).create() as writer:
+        s = State(schema, 4, 0.5)
+        for f in schema.names():
+            s.insert_payload(f, f + "!")
+        writer.observe_state(s)
+        writer.complete()
+    row = RecordingReader(spark, tmp_path / "r").read_stream("all", {f: "string" for f in schema.names()}).collect()[0].asDict()
+    assert (row["pos"], row["stream"], row["_pos"], row["__pos"], row["_stream"], int(row["iteration"])) == ("pos!", "stream!", "_pos!", 0, "all", 4)
+
+
+def test_decoders_on_the_driver(spark, tmp_path):
+    golden(tmp_path)
+    reader = RecordingReader(spark, tmp_path, "elsewhere-jsonl")
+    rows = list(reader.iterate("signal", {"population": sum, "label": str.upper}))
+    assert [(i, v["population"], v["label"]) for i, _, v in rows] == [(0, 3.0, "START"), (2, 3.0, "LATER")]
+    assert reader.latest_state("signal", [("population", len), ("label", len)])[2] == {"population": 2, "label": 5}
+    assert code(DecoderError, lambda: reader.latest_state("signal", [("label", len), ("label", len)])) == "duplicate_decoder"
+    assert code(DecoderError, lambda: reader.latest_state("signal", {"label": len})) == "missing_decoder"
+    assert code(DecoderError, lambda: reader.latest_state("signal", {"label": int, "population": len})) == "decoder_failed"
+
+
+def test_the_sinks_guard_outlives_it(spark, tmp_path):
+    build = builder(tmp_path / "r")
+    with build.create() as writer:
+        RecordingSink(writer)(frame(spark, 0, 5), 0)
+    with build.continue_existing() as writer:
+        again = RecordingSink(writer)
+        again(frame(spark, 0, 5), 0)  # ended before
+        with pytest.raises(StorageError):
+            again(frame(spark, 4, 8), 1)
+        again._write(batch=1, done=False)  # as a crash within the batch leaves it
+        writer.record(frame(spark, 5, 7))
+    with build.continue_existing() as writer:
+        RecordingSink(writer)(frame(spark, 5, 9), 1)
+        assert [g["records"] for g in writer.complete()] == [9, 5]

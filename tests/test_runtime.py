@@ -117,3 +117,33 @@ def test_scopes_and_artifacts(tmp_path):
     assert code(lambda: load_artifact(scope.directory, own), ProvenanceError) == "digest_mismatch"
     assert code(lambda: load_artifact(scope.directory, Artifact(own.sha256, "../x")), ProvenanceError) == "invalid_descriptor"
     assert code(lambda: persist_artifact(scope, "a/b", "bin", b""), ProvenanceError) == "unsafe_name"
+
+
+def test_cancellation_reaches_running_tasks_and_their_jobs(spark):
+    import threading
+    import time
+
+    cancel, started = threading.Event(), threading.Event()
+    seen = []
+
+    def slow_job(context):
+        started.set()
+        spark.range(0, 8, 1, 4).rdd.foreach(lambda _: time.sleep(60))
+
+    def loop(context):
+        while context.should_continue():
+            time.sleep(0.01)
+        seen.append(context.id)
+        raise Cancelled
+
+    space = ParameterSpace({}, Sweep.parse({"mode": "cartesian", "axes": {"k": {"values": [0, 1]}}}))
+    tasks = activity_tasks(space, "t", lambda c: (slow_job if c.configuration.value("/k") else loop)(c))
+    threading.Thread(target=lambda: (started.wait(30), time.sleep(1), cancel.set())).start()
+    began = time.monotonic()
+    summary = Plan([Phase(1, "both", tasks, max_active_tasks=2)]).run(cancel=cancel)[0]
+    assert time.monotonic() - began < 40 and seen == ["t:0"] and summary.counts["cancelled"] == 2
+
+
+def test_selector_over_a_table(spark):
+    rows = spark.createDataFrame([(1, "a", 1), (1, "b", 1), (2, "a", 2)], "phase int, kind string, `/k` int")
+    assert Selector(1, "a").rows(rows).count() == 1 and Selector(parameters=(("/k", 1),)).rows(rows).count() == 2 and Selector().rows(rows).count() == 3

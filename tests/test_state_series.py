@@ -127,3 +127,13 @@ def test_streams(spark):
     for bad in (0, {"iterations": 0}, {"n": 1}, True):
         with pytest.raises(StorageError):
             streams.StreamConfig.parse({"name": "a", "fields": [], "sampling_interval": bad})
+
+
+def test_series_accessors(spark):
+    df = spark.createDataFrame([("a", 3, 1.0), ("a", 1, 2.0), ("b", 2, 3.0)], "k string, iteration bigint, v double")
+    assert [r["v"] for r in series.ordered(df, ["k"]).collect()] == [2.0, 1.0, 3.0]
+    assert [tuple(r) for r in series.iterations(df, ["k"]).collect()] == [("a", 1), ("a", 3), ("b", 2)]
+    assert sorted(tuple(r) for r in series.lengths(df, ["k"]).collect()) == [("a", 2, 1, 3), ("b", 1, 2, 2)]
+    empty = series.cleared(df)
+    assert empty.schema == df.schema and series.is_empty(empty) and not series.is_empty(df) and series.lengths(empty, ["k"]).count() == 0
+    assert spark.sql(f"SELECT sum(v) FROM {series.view(df, 'some_series')}").first()[0] == 6.0
