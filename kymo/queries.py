@@ -46,14 +46,14 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def space() -> ParameterSpace:
-    fixed = {"physical_time_increment": 0.125, "lattice_shape": [4, 8], "solver": {"method": "rk4", "tolerance": 1e-9}}
-    sweep = {"mode": "cartesian", "axes": {"temperature": {"values": [280.0, 300.0]}, "seed": {"values": [7, 11, 13]}}}
+    fixed = {"interest": 0.04, "grid_shape": [3, 9], "pricing": {"rule": "tiered", "slack": 1e-6}}
+    sweep = {"mode": "cartesian", "axes": {"discount": {"values": [0.05, 0.07]}, "quantity": {"values": [17, 24, 36]}}}
     return ParameterSpace(fixed, Sweep.parse(sweep))
 
 
 def cases() -> ParameterSpace:
-    found = [{"temperature": 275.0, "physical_time_increment": 0.2}, {"physical_time_increment": 0.1, "temperature": 290.0}, {"temperature": 310.0, "physical_time_increment": 0.05}]
-    return ParameterSpace({"integrator": "adaptive"}, Sweep.parse({"mode": "cases", "cases": found}))
+    found = [{"discount": 0.01, "interest": 1.5}, {"interest": 2.5, "discount": 0.02}, {"discount": 0.09, "interest": 3.5}]
+    return ParameterSpace({"carrier": "rail"}, Sweep.parse({"mode": "cases", "cases": found}))
 
 
 def _number(column: str, kind: str) -> Column:
@@ -166,7 +166,7 @@ def populated_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sweep_cartesian(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = space().frame(spark)
-    return own.select("ordinal", _number("/temperature", "double").alias("temperature"), _number("/seed", "bigint").alias("seed"))
+    return own.select("ordinal", _number("/discount", "double").alias("discount"), _number("/quantity", "bigint").alias("quantity"))
 
 
 def sweep_over_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,23 +179,23 @@ def sweep_over_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sweep_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = cases().frame(spark)
-    return own.select("ordinal", _number("/temperature", "double").alias("temperature"), _number("/physical_time_increment", "double").alias("increment"))
+    return own.select("ordinal", _number("/discount", "double").alias("discount"), _number("/interest", "double").alias("increment"))
 
 
 def sweep_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = space().matching(spark, "/temperature", 300.0)
-    return own.select("ordinal", _number("/seed", "bigint").alias("seed"))
+    own = space().matching(spark, "/discount", 0.07)
+    return own.select("ordinal", _number("/quantity", "bigint").alias("quantity"))
 
 
 def sweep_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    task = cases().unique_matching("/temperature", 290.0)
-    return spark.createDataFrame([(task.ordinal, task.decode_value("/physical_time_increment", float))], "ordinal bigint, increment double")
+    task = cases().unique_matching("/discount", 0.02)
+    return spark.createDataFrame([(task.ordinal, task.decode_value("/interest", float))], "ordinal bigint, increment double")
 
 
 def fixed_join_sweep_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("document")
     pick = lambda path, kind: F.get_json_object(doc, path).cast(kind)
-    return space().frame(spark).select("ordinal", pick("$.temperature", "double").alias("temperature"), pick("$.seed", "bigint").alias("seed"), pick("$.solver.method", "string").alias("method"), pick("$.lattice_shape[1]", "int").alias("height"))
+    return space().frame(spark).select("ordinal", pick("$.discount", "double").alias("discount"), pick("$.quantity", "bigint").alias("quantity"), pick("$.pricing.rule", "string").alias("method"), pick("$.grid_shape[1]", "int").alias("height"))
 
 
 def parameter_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,8 +210,8 @@ def param_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def param_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of fixed and swept pointers that set the same parameter."""
     spread = lambda names, c: spark.createDataFrame([(n,) for n in names], f"{c} string").withColumn(f"{c}_path", columns.segments(F.col(c)))
-    left = spread(["/solver", "/solver/method", "/seed", "/a~1b/c", "/grid/shape"], "fixed")
-    right = spread(["/solver/method", "/seed", "/a~1b", "/grid/shapes", "/mu"], "swept")
+    left = spread(["/pricing", "/pricing/rule", "/quantity", "/a~1b/c", "/grid/shape"], "fixed")
+    right = spread(["/pricing/rule", "/quantity", "/a~1b", "/grid/shapes", "/mu"], "swept")
     return left.join(right, columns.paths_conflict(F.col("fixed_path"), F.col("swept_path"))).select("fixed", "swept")
 
 
@@ -579,8 +579,8 @@ _DESCRIBE = "user_id, ordinal, 'chunk-' || lpad(CAST(ordinal AS VARCHAR), 6, '0'
 _SHA = "'sha256:' || sha256(string_agg(line || chr(10), '' ORDER BY iteration)) AS checksum"
 _SUMMARY = f"""{_CHUNKS}, d AS (SELECT {_DESCRIBE} FROM f GROUP BY user_id, ordinal),
 m AS (SELECT user_id, count(*) AS chunk_count, CAST(sum(records) AS BIGINT) AS records, CAST(sum(bytes) AS BIGINT) AS bytes, min(first_iteration) AS first_iteration, max(last_iteration) AS last_iteration FROM d GROUP BY user_id)"""
-_SPACE = "t AS (SELECT (a.i * 3 + b.i) AS ordinal, a.v AS temperature, b.v AS seed FROM (VALUES (0, 280.0::DOUBLE), (1, 300.0::DOUBLE)) a(i, v), (VALUES (0, 7::BIGINT), (1, 11::BIGINT), (2, 13::BIGINT)) b(i, v))"
-_CASES = "c AS (SELECT * FROM (VALUES (0, 275.0::DOUBLE, 0.2::DOUBLE), (1, 290.0::DOUBLE, 0.1::DOUBLE), (2, 310.0::DOUBLE, 0.05::DOUBLE)) AS c(ordinal, temperature, increment))"
+_SPACE = "t AS (SELECT (a.i * 3 + b.i) AS ordinal, a.v AS discount, b.v AS quantity FROM (VALUES (0, 0.05::DOUBLE), (1, 0.07::DOUBLE)) a(i, v), (VALUES (0, 17::BIGINT), (1, 24::BIGINT), (2, 36::BIGINT)) b(i, v))"
+_CASES = "c AS (SELECT * FROM (VALUES (0, 0.01::DOUBLE, 1.5::DOUBLE), (1, 0.02::DOUBLE, 2.5::DOUBLE), (2, 0.09::DOUBLE, 3.5::DOUBLE)) AS c(ordinal, discount, increment))"
 
 _TABLE_SPACE = "WITH a AS (SELECT n_name AS nation, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation), b AS (SELECT size, row_number() OVER (ORDER BY size) - 1 AS j FROM (SELECT DISTINCT p_size AS size FROM part)), t AS (SELECT i * (SELECT count(*) FROM b) + j AS ordinal, nation, size FROM a CROSS JOIN b)"
 
@@ -610,19 +610,19 @@ def oracle_sql() -> dict[str, str]:
         "physical_time": f"WITH {_STATES} SELECT iteration, physical_time FROM s",
         "time_advance": f"WITH {_STATES} SELECT iteration + 1 AS iteration, physical_time + 0.5 AS physical_time FROM s",
         "populated_fields": f"WITH {_STATES} SELECT iteration, 2 AS declared, CAST(iteration % 3 <> 0 AND value IS NOT NULL AS INT) + CAST(iteration % 2 = 0 AND props IS NOT NULL AS INT) AS populated FROM s",
-        "sweep_cartesian": f"WITH {_SPACE} SELECT ordinal, temperature, seed FROM t",
+        "sweep_cartesian": f"WITH {_SPACE} SELECT ordinal, discount, quantity FROM t",
         "sweep_over_tables": "WITH a AS (SELECT n_name AS nation, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation), b AS (SELECT size, row_number() OVER (ORDER BY size) - 1 AS j FROM (SELECT DISTINCT p_size AS size FROM part)) SELECT i * (SELECT count(*) FROM b) + j AS ordinal, nation, size FROM a CROSS JOIN b",
         "sweep_cases": f"WITH {_CASES} SELECT * FROM c",
-        "sweep_match": f"WITH {_SPACE} SELECT ordinal, seed FROM t WHERE temperature = 300.0",
-        "sweep_unique": f"WITH {_CASES} SELECT ordinal, increment FROM c WHERE temperature = 290.0",
-        "fixed_join_sweep_json": f"WITH {_SPACE} SELECT ordinal, temperature, seed, 'rk4' AS method, 8 AS height FROM t",
-        "parameter_leaves": f"WITH {_SPACE} SELECT ordinal, pos, pointer FROM t, (VALUES (0, '/physical_time_increment'), (1, '/lattice_shape'), (2, '/solver/method'), (3, '/solver/tolerance'), (4, '/temperature'), (5, '/seed')) AS p(pos, pointer)",
+        "sweep_match": f"WITH {_SPACE} SELECT ordinal, quantity FROM t WHERE discount = 0.07",
+        "sweep_unique": f"WITH {_CASES} SELECT ordinal, increment FROM c WHERE discount = 0.02",
+        "fixed_join_sweep_json": f"WITH {_SPACE} SELECT ordinal, discount, quantity, 'tiered' AS method, 9 AS height FROM t",
+        "parameter_leaves": f"WITH {_SPACE} SELECT ordinal, pos, pointer FROM t, (VALUES (0, '/interest'), (1, '/grid_shape'), (2, '/pricing/rule'), (3, '/pricing/slack'), (4, '/discount'), (5, '/quantity')) AS p(pos, pointer)",
         "param_leaves": "WITH k AS (SELECT event_id AS iteration, props, unnest(json_keys(props)) AS name FROM events) SELECT iteration, '/' || replace(replace(name, '~', '~0'), '/', '~1') AS pointer, json_extract_string(props, '$.\"' || name || '\"') AS value FROM k",
-        "param_conflicts": "WITH f AS (SELECT unnest(['/solver', '/solver/method', '/seed', '/a~1b/c', '/grid/shape']) AS fixed), s AS (SELECT unnest(['/solver/method', '/seed', '/a~1b', '/grid/shapes', '/mu']) AS swept) SELECT fixed, swept FROM f, s WHERE fixed = swept OR starts_with(fixed, swept || '/') OR starts_with(swept, fixed || '/')",
+        "param_conflicts": "WITH f AS (SELECT unnest(['/pricing', '/pricing/rule', '/quantity', '/a~1b/c', '/grid/shape']) AS fixed), s AS (SELECT unnest(['/pricing/rule', '/quantity', '/a~1b', '/grid/shapes', '/mu']) AS swept) SELECT fixed, swept FROM f, s WHERE fixed = swept OR starts_with(fixed, swept || '/') OR starts_with(swept, fixed || '/')",
         "status_summary": "WITH t AS (SELECT o_orderpriority AS phase, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'running' ELSE 'pending' END AS status FROM orders) SELECT phase, count(*) AS total, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'completed') = count(*) AS success FROM t GROUP BY phase",
         "phase_closure": "WITH RECURSIVE d(phase, dependency) AS (VALUES (2, 1), (3, 2), (4, 2), (5, 3), (5, 4), (6, 1), (7, 6)), need(phase) AS (SELECT 5 UNION SELECT d.dependency FROM need n JOIN d ON d.phase = n.phase) SELECT phase FROM need",
         "release_offsets": "WITH t AS (SELECT n_regionkey AS phase, n_nationkey AS task, n_nationkey % 3 = 0 AS reused FROM nation), r AS (SELECT *, CASE WHEN NOT reused THEN row_number() OVER (PARTITION BY phase, reused ORDER BY task) - 1 END AS delay_rank FROM t) SELECT *, delay_rank * 250000000 AS release_offset_ns FROM r",
-        "varying_keys": f"WITH {_SPACE} SELECT '/temperature' AS pointer, count(DISTINCT temperature) AS kinds FROM t UNION ALL SELECT '/seed', count(DISTINCT seed) FROM t",
+        "varying_keys": f"WITH {_SPACE} SELECT '/discount' AS pointer, count(DISTINCT discount) AS kinds FROM t UNION ALL SELECT '/quantity', count(DISTINCT quantity) FROM t",
         "task_select": "SELECT o_orderkey AS task, o_orderpriority AS phase, o_orderstatus AS kind FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' AND o_orderkey % 2 = 1",
         "plan_tasks": "SELECT 1 AS phase, 'run:' || i AS task, i AS ordinal, 'pending' AS status, i AS delay_rank FROM range(6) r(i) UNION ALL SELECT 2, 'check:' || i, i, 'reused', NULL FROM range(6) r(i)",
         "recording_roundtrip": f"WITH {_STATES} SELECT iteration, physical_time, value, event_type FROM s QUALIFY iteration % 100 = 0 OR iteration = max(iteration) OVER ()",

@@ -22,7 +22,7 @@ def test_strict_json():
     assert code(lambda: parse_strict('[{"a": {"b": 1, "b": 2}}]')) == "duplicate_key"
     for text in ("NaN", "[Infinity]", "1e400"):
         assert code(lambda t=text: parse_strict(t)) == "non_finite"
-    assert not same_json(300, 300.0) and not same_json(True, 1) and same_json({"a": [1, {"b": None}]}, {"a": [1, {"b": None}]})
+    assert not same_json(300, 15.0) and not same_json(True, 1) and same_json({"a": [1, {"b": None}]}, {"a": [1, {"b": None}]})
 
 
 def test_pointers():
@@ -34,32 +34,32 @@ def test_pointers():
 
 
 def test_cartesian_order_last_axis_fastest(spark):
-    space = ParameterSpace({"dt": 0.125}, cartesian(temperature={"values": [280.0, 300.0]}, seed={"values": [7, 11, 13]}))
-    got = [(t.value("/temperature"), t.value("/seed")) for t in space.tasks()]
-    assert got == [(280.0, 7), (280.0, 11), (280.0, 13), (300.0, 7), (300.0, 11), (300.0, 13)]
+    space = ParameterSpace({"dt": 0.04}, cartesian(rate={"values": [12.0, 15.0]}, lot={"values": [3, 8, 21]}))
+    got = [(t.value("/rate"), t.value("/lot")) for t in space.tasks()]
+    assert got == [(12.0, 3), (12.0, 8), (12.0, 21), (15.0, 3), (15.0, 8), (15.0, 21)]
     rows = [json.loads(r["document"]) for r in space.frame(spark).orderBy("ordinal").collect()]
     assert rows == [t.to_json() for t in space.tasks()]
     assert space.facts() == {"fixed_parameter_count": 1, "sweep_parameter_count": 2, "parameter_count": 3, "task_count": 6}
-    assert space.matching(spark, "/temperature", 300.0).count() == 3 and space.matching(spark, "/temperature", 300).count() == 0
-    assert code(lambda: space.unique_matching("/seed", 7)) == "ambiguous_match"
-    assert code(lambda: space.unique_matching("/seed", 8)) == "no_match"
-    assert code(lambda: space.matching(spark, "/dt", 0.125)) == "not_selectable"
+    assert space.matching(spark, "/rate", 15.0).count() == 3 and space.matching(spark, "/rate", 15).count() == 0
+    assert code(lambda: space.unique_matching("/lot", 3)) == "ambiguous_match"
+    assert code(lambda: space.unique_matching("/lot", 9)) == "no_match"
+    assert code(lambda: space.matching(spark, "/dt", 0.04)) == "not_selectable"
     assert code(lambda: space.task(6)) == "ordinal_out_of_range"
 
 
 def test_nested_and_structured_axes(spark):
-    nested = ParameterSpace({}, cartesian(kernel={"mu": {"values": [0.2, 0.8]}}, matrix={"scale": {"values": [0.25, 0.5]}}))
-    assert [t.to_json() for t in nested.tasks()][1] == {"kernel": {"mu": 0.2}, "matrix": {"scale": 0.5}}
-    species = [{"name": "a", "mass": 1}, {"mass": 2, "name": "b"}]
-    space = ParameterSpace({}, cartesian(species={"values": species}, scale={"values": [0.5, 1.0]}))
-    assert space.sweep_keys() == ["/species", "/scale"] and space.matching(spark, "/species", species[1]).count() == 2
-    assert [t.keys() for t in space.tasks()] == [["/species/name", "/species/mass", "/scale"]] * 4
+    nested = ParameterSpace({}, cartesian(tariff={"duty": {"values": [0.1, 0.3]}}, freight={"share": {"values": [0.4, 0.9]}}))
+    assert [t.to_json() for t in nested.tasks()][1] == {"tariff": {"duty": 0.1}, "freight": {"share": 0.9}}
+    parts = [{"name": "a", "weight": 1}, {"weight": 2, "name": "b"}]
+    space = ParameterSpace({}, cartesian(parts={"values": parts}, size={"values": [4, 9]}))
+    assert space.sweep_keys() == ["/parts", "/size"] and space.matching(spark, "/parts", parts[1]).count() == 2
+    assert [t.keys() for t in space.tasks()] == [["/parts/name", "/parts/weight", "/size"]] * 4
 
 
 def test_cases():
-    space = ParameterSpace({}, Sweep.parse({"mode": "cases", "cases": [{"t": 275.0, "d": 0.2}, {"d": 0.1, "t": 290.0}]}))
-    assert [t.items() for t in space.tasks()] == [[("/t", 275.0), ("/d", 0.2)], [("/t", 290.0), ("/d", 0.1)]]
-    assert space.unique_matching("/t", 290.0).ordinal == 1
+    space = ParameterSpace({}, Sweep.parse({"mode": "cases", "cases": [{"t": 5.0, "d": 0.6}, {"d": 0.7, "t": 6.0}]}))
+    assert [t.items() for t in space.tasks()] == [[("/t", 5.0), ("/d", 0.6)], [("/t", 6.0), ("/d", 0.7)]]
+    assert space.unique_matching("/t", 6.0).ordinal == 1
 
 
 def test_no_axes_is_one_task(spark):
@@ -86,13 +86,13 @@ def test_rejected_sweeps(sweep, want):
 
 def test_lookups_and_export(tmp_path):
     (tmp_path / "config").mkdir()
-    for name, text in (("fixed", '{"solver": {"method": "rk4", "n": 3}}'), ("sweep", '{"mode": "cartesian", "axes": {"mu": {"values": [1, 2]}}}'), ("paths", '{"out": "data/../x", "abs": "/y"}')):
+    for name, text in (("fixed", '{"pricing": {"rule": "tiered", "n": 3}}'), ("sweep", '{"mode": "cartesian", "axes": {"mu": {"values": [1, 2]}}}'), ("paths", '{"out": "data/../x", "abs": "/y"}')):
         (tmp_path / "config" / f"{name}.json").write_text(text)
     space = ParameterSpace.load(tmp_path)
     task = space.task(1)
-    assert task.value("/solver") == {"method": "rk4", "n": 3} and task.contains("/solver") and not task.contains("/solv")
-    assert task.decode_values(("/solver/method", str), ("/mu", float)) == ("rk4", 2.0)
-    assert code(lambda: task.decode_value("/solver/method", int)) == "wrong_type" and code(lambda: task.require_value("/q")) == "missing_parameter"
+    assert task.value("/pricing") == {"rule": "tiered", "n": 3} and task.contains("/pricing") and not task.contains("/pric")
+    assert task.decode_values(("/pricing/rule", str), ("/mu", float)) == ("tiered", 2.0)
+    assert code(lambda: task.decode_value("/pricing/rule", int)) == "wrong_type" and code(lambda: task.require_value("/q")) == "missing_parameter"
     assert space.paths.resolve_path("out") == tmp_path / "x" and str(space.paths.resolve_path("abs")) == "/y"
     task.write_resolved_json(tmp_path / "a.json")
     task.write_resolved_json(tmp_path / "a.json")

@@ -14,6 +14,7 @@ from kymo.sources.writer import RecordingBuilder, reconcile
 from kymo.streaming.sink import RecordingSink, capture
 
 SCHEMA = StateSchema([Field("population", "Counts"), Field("label")])
+# A chunk of the wire format, its digest, and below the keys of the metadata document.
 GOLDEN = b'{"iteration":0,"physical_time":0.0,"values":[[2.0,1.0],"start"]}\n{"iteration":2,"physical_time":0.5,"values":[[1.0,2.0],"later"]}\n'
 GOLDEN_SUM = "sha256:eb51b8dd52d7adcd98ae1886daf952bdba982ee12013dbcd86263c4ab361a4cb"
 
