@@ -2,6 +2,8 @@ import math
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kymo.errors import PayloadInsertError, SeriesError, StateError, StorageError
@@ -137,3 +139,18 @@ def test_series_accessors(spark):
     empty = series.cleared(df)
     assert empty.schema == df.schema and series.is_empty(empty) and not series.is_empty(df) and series.lengths(empty, ["k"]).count() == 0
     assert spark.sql(f"SELECT sum(v) FROM {series.view(df, 'some_series')}").first()[0] == 6.0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 100), max_size=60), st.integers(1, 150))
+def test_rollover_of_any_sizes(sizes, target):
+    got, _, _ = chunks.chunk_ordinals(np.array(sizes, np.int64), target)
+    want, ordinal, held = [], 0, 0
+    for n in sizes:
+        if held and held + n > target:
+            ordinal, held = ordinal + 1, 0
+        want.append(ordinal)
+        held += n
+        if held >= target:
+            ordinal, held = ordinal + 1, 0
+    assert got.tolist() == want
