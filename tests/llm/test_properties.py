@@ -1,4 +1,4 @@
-"""Properties over random texts: encoding, extraction and rollover hold for whatever comes."""
+"""Properties over random texts: encoding and extraction hold for whatever comes."""
 
 import random
 
@@ -8,7 +8,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kymo.llm import bpe, html_extract, line_dedup, simhash
-from kymo.operators.chunks import chunk_ordinals
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -43,21 +42,6 @@ def test_any_markup_is_read(parts):
     html_extract.main_text("".join(parts))
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 100), max_size=60), st.integers(1, 150))
-def test_rollover(sizes, target):
-    got, _, _ = chunk_ordinals(np.array(sizes, np.int64), target)
-    want, ordinal, held = [], 0, 0
-    for n in sizes:
-        if held and held + n > target:
-            ordinal, held = ordinal + 1, 0
-        want.append(ordinal)
-        held += n
-        if held >= target:
-            ordinal, held = ordinal + 1, 0
-    assert got.tolist() == want
-
-
 @settings(max_examples=100, deadline=None)
 @given(st.integers(0, 2**64 - 1), st.integers(0, 2**64 - 1))
 def test_manhattan_is_at_most_hamming(a, b):
