@@ -298,7 +298,7 @@ def line_links(docs: DataFrame, seen: DataFrame, id_col: str, text_col: str, fuz
     spark = docs.sparkSession
     keyed = seen.select(F.explode("keys").alias("key"), "lo").filter("key IS NOT NULL").repartition("key")  # one exchange, read twice
     shared = keyed.groupBy("key").agg(F.min("lo").alias("x"), F.max("lo").alias("y")).filter("x <> y").select("key")
-    members = written(keyed.join(shared.hint("shuffle_hash"), "key").select("key", "lo").distinct(), "line-buckets")
+    members = written(keyed.join(shared.hint("merge"), "key").select("key", "lo").distinct(), "line-buckets")
     alike = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("lo")).alias("s"), F.bit_xor(F.xxhash64("lo", F.lit(1))).alias("t"), F.min("lo").alias("x"))
     once = written(alike.groupBy("n", "s", "t", "x").agg(F.min("key").alias("key")).select("key", "n"), "line-buckets-once")
     chosen = members.join(once, "key")
