@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from py4j.protocol import Py4JError, Py4JNetworkError
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +40,27 @@ def workers_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; when its rows are through, what it freed goes back to the system.
+
+    Workers live on through many stages, and the allocators would keep the most that any of them took.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return work
+
+
+def give_back() -> None:
+    """Freed memory of this process to the system, as far as its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 _FOLDERS: dict[str, str] = {}
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kymo.llm.common import SPACES, bit_table, maybe_in, plainly_named, text_or_empty, written
+from kymo.llm.common import SPACES, bit_table, maybe_in, plainly_named, text_or_empty, tidied, written
 from kymo.llm.components import components
 from kymo.llm.simhash import _Forest
 
@@ -202,7 +202,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, fuzzy: Fuzzy) -> Da
                 yield flush()
 
     read = docs.select(F.col(id_col).alias("i"), text_or_empty(text_col).alias("t"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text_col).alias("same"))
-    return read.mapInArrow(run, f"_id {kind}, _row long, _same long, _line int, hi long, lo long, keys array<long>")
+    return read.mapInArrow(tidied(run), f"_id {kind}, _row long, _same long, _line int, hi long, lo long, keys array<long>")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, seen: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -239,7 +239,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, seen: DataFrame, wanted:
             if held:
                 yield found()
 
-    found = docs.select(F.xxhash64(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, line int, hi long, lo long, text string")
+    found = docs.select(F.xxhash64(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(tidied(run), "id long, line int, hi long, lo long, text string")
     return found.join(places, ["id", "line", "hi", "lo"]).select("lo", "hi", "text")
 
 
@@ -333,7 +333,7 @@ def line_links(docs: DataFrame, seen: DataFrame, id_col: str, text_col: str, fuz
         if held:
             yield found(held)
 
-    return dealt.mapInArrow(run, "a struct<lo:long,hi:long>, b struct<lo:long,hi:long>")
+    return dealt.mapInArrow(tidied(run), "a struct<lo:long,hi:long>, b struct<lo:long,hi:long>")
 
 
 def _decided(docs: DataFrame, id_col: str, text_col: str, fuzzy: Fuzzy) -> tuple[DataFrame, DataFrame]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kymo.llm.bpe import Encoder, Merges
-from kymo.llm.common import text_or_empty, written
+from kymo.llm.common import text_or_empty, tidied, written
 
 END_ID = 1
 
@@ -120,7 +120,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, tokens: int = 4096, id_col: str
             yield flush()
 
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).alias("i"), text_or_empty(text_col).alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("i"), text_or_empty(text_col).alias("t")).mapInArrow(tidied(run), schema)
 
 
 def pack_pieces(found: DataFrame, id_col: str = "doc_id", capacity: Capacity = Capacity(), group_rows: int = 24_000) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import plainly_named, put_bytes, text_or_empty
+from kymo.llm.common import plainly_named, put_bytes, text_or_empty, tidied
 from kymo.llm.license_scan import grams, word_hashes
 
 #: Bytes of words: all but the space and the control characters from tab to carriage return.
@@ -226,7 +226,7 @@ def _scored(docs: DataFrame, model: Machine, text: str, rest: list[str], setting
             scores.append(machine.score(held))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(np.concatenate(scores).astype(float))], names=[*map(str, range(len(rest))), "score"])
 
-    return docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text}`").alias("_kymo_text")).mapInArrow(run, f"{kinds}, score double")
+    return docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text}`").alias("_kymo_text")).mapInArrow(tidied(run), f"{kinds}, score double")
 
 
 def scored(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kymo.llm.common import plainly_named, text_or_empty, written
+from kymo.llm.common import plainly_named, text_or_empty, tidied, written
 from kymo.llm.components import components
 
 LOW = 0x5555555555555555
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(own, names=["i", "fp", "same"][: len(own)])
 
     more = [F.xxhash64(text_col).alias("same")] if same else []
-    return docs.select(F.col(id_col).alias("i"), text_or_empty(text_col).alias("t"), *more).mapInArrow(run, f"`{id_col}` {kind}, fp long" + (", _same long" if same else ""))
+    return docs.select(F.col(id_col).alias("i"), text_or_empty(text_col).alias("t"), *more).mapInArrow(tidied(run), f"`{id_col}` {kind}, fp long" + (", _same long" if same else ""))
 
 
 def unary(fp: Column) -> Column:
@@ -190,7 +190,7 @@ def links(prints: DataFrame, limit: int = 4, spare: int | None = None, cell_rows
         if waiting:
             yield found(pd.concat(waiting, ignore_index=True))
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidied(run), "a long, b long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, limit: int = 4, spare: int | None = None) -> DataFrame:

@@ -3,11 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kymo.llm import bpe, html_extract, line_dedup, simhash
+from kymo.llm.common import tidied
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -71,3 +73,11 @@ def test_fingerprint_of_few_words():
 
     assert simhash.fingerprint("") == simhash.fingerprint(" \n") == bytes(8)
     assert simhash.fingerprint("One  TWO") == xxhash.xxh64_digest(b"one two", 42)
+
+
+def test_tidied_changes_no_rows():
+    batches = [pa.record_batch({"x": [1, 2]}), pa.record_batch({"x": pa.array([], pa.int64())}), pa.record_batch({"x": [None, 3]})]
+    assert list(tidied(lambda rows: (b.slice(0, 1) for b in rows))(iter(batches))) == [b.slice(0, 1) for b in batches]
+    assert list(tidied(lambda rows: rows)(iter([]))) == []
+    with pytest.raises(ZeroDivisionError):
+        list(tidied(lambda rows: (1 // 0 for _ in rows))(iter(batches)))
